@@ -1,0 +1 @@
+"""Operators for preparing training text; nothing outside this subpackage imports it."""
