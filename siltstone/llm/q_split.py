@@ -10,7 +10,7 @@ from siltstone.llm import split
 LIMIT, PARENT_LIMIT, OVERLAP = 512, 2400, 60
 
 
-def _sections(spark: SparkSession, sf_dir: str, run, **kw) -> DataFrame:
+def _sections(spark: SparkSession, sf_dir: str, run) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "text").distinct()
     return run(rows, "section_id", F.col("text"), LIMIT, [LIMIT], OVERLAP).withColumn("item_table", F.lit("canonical_section"))
 
@@ -35,11 +35,15 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
 
-_WORDS = rf"len(regexp_extract_all({{}}, '[^{split.WHITE}]+'))"
+
+def _words(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[^{split.WHITE}]+'))"
+
+
 SQL = {
     "p2_found": f"""
-SELECT DISTINCT 'canonical_section' AS item_table, section_id AS item_id FROM canonical_section WHERE {_WORDS.format('text')} > {LIMIT}
+SELECT DISTINCT 'canonical_section' AS item_table, section_id AS item_id FROM canonical_section WHERE {_words('text')} > {LIMIT}
 UNION ALL
 SELECT DISTINCT 'qdrant_point' AS item_table, chunk_id AS item_id FROM qdrant_point
-WHERE {_WORDS.format('payload.chunk_text')} > CASE WHEN payload.is_parent THEN {PARENT_LIMIT} ELSE {LIMIT} END""",
+WHERE {_words('payload.chunk_text')} > CASE WHEN payload.is_parent THEN {PARENT_LIMIT} ELSE {LIMIT} END""",
 }
