@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.materialise import cut
+
 # Month names in English, German, French and Spanish, by month.
 MONTH_NAMES = (
     ("january", "jan", "januar", "jänner", "janvier", "janv", "enero", "ene"),
@@ -170,7 +172,8 @@ def parse(df: DataFrame, value: Column, home_zone: Column, day_order: Column, to
         F.when(col("valid"), m).cast("int").alias("month"),
         F.when(col("valid"), d).cast("int").alias("day"),
     )
-    return df.select(*own, result.alias(to))
+    # a generator is a wall for the optimizer: a filter on the result isn't pushed, with all of the above written out, below it
+    return df.select(*own, result.alias(tmp("out"))).select(*own, F.explode(F.array(tmp("out"))).alias(to))
 
 
 def period_key(parsed: Column, precision: Column) -> Column:
@@ -185,27 +188,35 @@ def period_key(parsed: Column, precision: Column) -> Column:
     )
 
 
-def normalise_stamps(df: DataFrame, fields: list[tuple[str, Column, Column | None]], keep: list[str], readers: DataFrame, reader: str = "reader") -> DataFrame:
-    """Long form of several stamp fields: ``keep`` columns, field_name, stated, key, instant_utc.
+def stated_values(df: DataFrame, fields: list[tuple[str, Column, Column | None]], group: str, row_id: str, reader: str = "reader") -> DataFrame:
+    """Long form (group_id, row_id, reader, field_name, stated, precision) of several stamp fields, one row for each non-null value.
 
     ``fields`` are (name, value, precision); precision None means the field names instants, else dated periods.
-    ``readers`` (reader, home_zone, day_order) is a dimension of one row per reader; it is joined, never collected.
     """
-    dim = readers.groupBy(F.col("reader").alias("__reader")).agg(F.min("home_zone").alias("__home"), F.min("day_order").alias("__order"))
     values = F.array(*[F.struct(F.lit(n).alias("n"), v.cast("string").alias("v"), (F.lit(None).cast("string") if p is None else F.coalesce(p, F.lit("day"))).alias("p")) for n, v, p in fields])
-    long = df.select(*keep, F.col(reader).alias("__reader"), F.explode(values).alias("__f")).where(F.col("__f.v").isNotNull())
-    long = long.join(dim, "__reader", "left")
-    parsed = parse(long, F.col("__f.v"), F.col("__home"), F.col("__order"), "__p")
-    epoch = F.col("__p.epoch_s")
-    key = F.when(F.col("__f.p").isNull(), epoch.cast("string")).otherwise(period_key(F.col("__p"), F.col("__f.p")))
-    return parsed.select(*keep, F.col("__f.n").alias("field_name"), F.col("__f.v").alias("stated"), key.alias("key"), F.when(F.col("__f.p").isNull(), F.timestamp_seconds(epoch)).alias("instant_utc"))
+    long = df.select(F.col(group).alias("group_id"), F.col(row_id).alias("row_id"), F.col(reader).alias("reader"), F.explode(values).alias("f"))
+    return long.where(F.col("f.v").isNotNull()).select("group_id", "row_id", "reader", F.col("f.n").alias("field_name"), F.col("f.v").alias("stated"), F.col("f.p").alias("precision"))
+
+
+def normalise_stamps(values: DataFrame, readers: DataFrame) -> DataFrame:
+    """Add key (equal for equal meanings within a field, null where nothing is named) and instant_utc to ``stated_values``.
+
+    ``readers`` (reader, home_zone, day_order) is a dimension of one row per reader; it is joined, never collected.
+    """
+    dim = readers.groupBy("reader").agg(F.min("home_zone").alias("home_zone"), F.min("day_order").alias("day_order"))
+    parsed = parse(values.join(dim, "reader", "left"), F.col("stated"), F.col("home_zone"), F.col("day_order"), "parsed")
+    epoch = F.col("parsed.epoch_s")
+    key = F.when(F.col("precision").isNull(), epoch.cast("string")).otherwise(period_key(F.col("parsed"), F.col("precision")))
+    return parsed.select("group_id", "row_id", "field_name", "stated", key.alias("key"), F.when(F.col("precision").isNull(), F.timestamp_seconds(epoch)).alias("instant_utc"))
 
 
-def same_meaning_pairs(stamps: DataFrame, group: str, row_id: str) -> DataFrame:
+def same_meaning_pairs(stamps: DataFrame) -> DataFrame:
     """Pairs (field_name, id_low, id_high) of different rows of one group whose values of a field name the same thing.
 
-    Copies of a row count once. The self-join is on group, field and key at once, so its work is the size of its result.
+    Rows of a null group are in no pair; copies of a row count once. The self-join is on group, field and key at once, so
+    its work is the size of its result.
     """
-    rows = stamps.where(F.col("key").isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), "field_name", "key", F.col(row_id).alias("id")).distinct()
-    low, high = rows.withColumnRenamed("id", "id_low"), rows.withColumnRenamed("id", "id_high")
-    return low.join(high, ["g", "field_name", "key"]).where("id_low < id_high").select("field_name", "id_low", "id_high").distinct()
+    rows = stamps.where(F.col("key").isNotNull() & F.col("group_id").isNotNull()).select("group_id", "field_name", "key", "row_id").distinct()
+    rows = cut(rows)
+    low, high = rows.withColumnRenamed("row_id", "id_low"), rows.withColumnRenamed("row_id", "id_high")
+    return low.join(high, ["group_id", "field_name", "key"]).where("id_low < id_high").select("field_name", "id_low", "id_high").distinct()

@@ -9,29 +9,23 @@ from siltstone.operators import hierarchy, timestamps
 from siltstone.queries import table
 
 
-def _evidence_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = [("pdf_created", F.col("pdf_created"), None), ("file_created", F.col("file_created"), None)]
-    return timestamps.normalise_stamps(table(spark, sf_dir, "pdf_evidence"), fields, ["document_id", "evidence_id"], table(spark, sf_dir, "stamp_reader"))
-
-
-def _stage_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = [("pdf_created", F.col("pdf_created"), None), ("file_created", F.col("file_created"), None)]
     start, precision = F.col("canonical.effective_start_date"), F.col("canonical.start_precision")
-    fields = [("record_changed", F.col("record_changed"), None), ("effective_start_date", start, F.coalesce(precision, F.lit("day")))]
-    return timestamps.normalise_stamps(table(spark, sf_dir, "dates_stage"), fields, ["document_id", "stage_id"], table(spark, sf_dir, "stamp_reader"))
+    stage = [("record_changed", F.col("record_changed"), None), ("effective_start_date", start, F.coalesce(precision, F.lit("day")))]
+    values = timestamps.stated_values(table(spark, sf_dir, "pdf_evidence"), evidence, "document_id", "evidence_id")
+    values = values.unionByName(timestamps.stated_values(table(spark, sf_dir, "dates_stage"), stage, "document_id", "stage_id"))
+    return timestamps.normalise_stamps(values, table(spark, sf_dir, "stamp_reader"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of readings of one document that name the same moment or period."""
-    a = timestamps.same_meaning_pairs(_evidence_stamps(spark, sf_dir), "document_id", "evidence_id")
-    b = timestamps.same_meaning_pairs(_stage_stamps(spark, sf_dir), "document_id", "stage_id")
-    return a.unionByName(b)
+    return timestamps.same_meaning_pairs(_stamps(spark, sf_dir))
 
 
 def p1_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stated stamp with its UTC instant or dated period, null where it names none."""
-    a = _evidence_stamps(spark, sf_dir).withColumnRenamed("evidence_id", "row_id")
-    b = _stage_stamps(spark, sf_dir).withColumnRenamed("stage_id", "row_id")
-    return a.unionByName(b).select("field_name", "row_id", "document_id", "stated", "key", "instant_utc").distinct()
+    return _stamps(spark, sf_dir).withColumnRenamed("group_id", "document_id").distinct()
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
