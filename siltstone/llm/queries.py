@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import q_boilerplate, q_budget, q_quality, q_split
+from siltstone.llm import q_boilerplate, q_budget, q_quality, q_scans, q_split
 
-_MODULES = (q_split, q_boilerplate, q_budget, q_quality)
+_MODULES = (q_split, q_boilerplate, q_scans, q_budget, q_quality)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
