@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import general
+from siltstone.queries import catalog, claims, general
 
-_MODULES = (general,)
+_MODULES = (general, catalog, claims)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p5_hierarchy(spark, sf_dir)
+    """Documents by theme in one year, the catalog question asked most."""
+    return catalog.QUERIES["a02_distribution_theme"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
