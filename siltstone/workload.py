@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import catalog, claims, general
+from siltstone.queries import catalog, claims, general, retrieval
 
-_MODULES = (general, catalog, claims)
+_MODULES = (general, catalog, claims, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
