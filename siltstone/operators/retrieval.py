@@ -36,14 +36,29 @@ def retrievable(points: DataFrame, version: int | None = None) -> DataFrame:
     return points.where(ok & (F.col("doc_version") == version) if version is not None else ok)
 
 
-def vector_top_k(queries: DataFrame, points: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """(query_id, chunk_id, score) of the k nearest points of every query, exact.
+#: queries in one pass over the points; their vectors are what a pass broadcasts
+QUERIES_A_PASS, QUERIES_A_BLOCK = 20_000, 256
 
-    Queries are a stated set: they go in blocks of ``block`` to every point once, as matrix products in Arrow batches; each
-    batch keeps its own k best for each query, and one window merges them. Work is queries x points, memory is not.
+
+def vector_top_k(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the k nearest points of every query, exact.
+
+    Queries are a stated set. They are taken in passes of about ``QUERIES_A_PASS``, by hash, so what a pass broadcasts is
+    bounded; in a pass, blocks of queries meet Arrow batches of points as matrix products, each batch keeps its own k best
+    for each query, and one window merges them. Work is queries x points, memory is not.
     """
-    grouped = queries.select("query_id", "embedding").groupBy(F.floor(F.monotonically_increasing_id() % 1024 / block).alias("b"))
-    blocks = grouped.agg(F.collect_list(F.struct("query_id", "embedding")).alias("q")).select("q")
+    passes = max(1, -(-queries.count() // QUERIES_A_PASS))
+    found = None
+    for n in range(passes):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
+        one = _one_pass(part, points, k)
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _one_pass(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    blocks = queries.groupBy(F.pmod(F.hash("query_id"), F.lit(QUERIES_A_PASS // QUERIES_A_BLOCK)).alias("b")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q")).select("q")
     crossed = points.select("chunk_id", "embedding").crossJoin(F.broadcast(blocks))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,9 +77,7 @@ def vector_top_k(queries: DataFrame, points: DataFrame, k: int, block: int = 64)
             if out:
                 yield pd.concat(out)
 
-    found = crossed.mapInPandas(best, "query_id long, chunk_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return crossed.mapInPandas(best, "query_id long, chunk_id long, score double")
 
 
 def top_k(points: DataFrame, query_vector: list[float], k: int) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import catalog, claims, general, retrieval
+from siltstone.queries import catalog, claims, general, ingest, retrieval
 
-_MODULES = (general, catalog, claims, retrieval)
+_MODULES = (general, catalog, claims, retrieval, ingest)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
