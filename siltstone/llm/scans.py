@@ -9,14 +9,17 @@
 4. Words. In body lines, words that are misreadings are marked; a word broken at a line's end is joined with the opening of
    the document's next body line, on the next page if need be, and the vocabulary tells whether its hyphen is its own.
 
-Pages are decoded one by one in Arrow batches; everything across pages or documents is a join or an aggregate, so no document
-is gathered in one task. Defined results: null and blank pages have no noisy line; a page of null document is a document of
-its own; copies of a page count once; the last line of a document is never broken; empty tables give empty results.
+The text is read in two Arrow-batched passes and is never shuffled: the first counts words and describes the outermost
+lines, the second looks up words and line ends. All that is joined or gathered between them is compact: per word, per outer
+line, or per page a string with one letter for each line. Defined results: null and blank pages have no noisy line; a page of
+null document is a document of its own; copies of a page count once; the last line of a document is never broken; empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,25 +44,28 @@ SINGLE_TO = "aaaaaaeeeellllooooouuuuenaoslgtleb"
 GROUPS = (("rl", "n"), ("ll", "u"), ("rn", "m"), ("el", "d"), ("vv", "w"))
 # Fixed pattern: a word, its inner hyphens, points and apostrophes included.
 WORD = r"[\p{L}\p{M}\p{N}@+]+(?:[-'’.][\p{L}\p{M}\p{N}@+]+)*"
-_WORD = re.compile(r"[^\W_@+]*[\w@+](?:[\w@+]|[-'’.](?=[\w@+]))*")
+_WORD = re.compile(r"[\w@+]+(?:[-'’.][\w@+]+)*")
 _BREAK = re.compile(r"([\w@+]+(?:-[\w@+]+)*)[-‐¬\xad]\s*$")
-_OPENING = re.compile(r"[\s\"'“‘(\[]*((?:[\w@+]|[-'’.](?=[\w@+]))+)")
+_BREAK_MARKS = "-‐¬\xad"
+_OPENING = re.compile(r"[\s\"'“‘(\[]*([\w@+]+(?:[-'’.][\w@+]+)*)")
+_PUNCTUATION = ".,;:?!()[]\"'“”‘’"
 # Fixed pattern: a printed page number alone in its line; scanning takes 1 for l or I and 0 for O.
-NUMBER_LINE = r"(?i)^[\s\-–—\[\](){}|.·•*_~]*(?:page|pag\.|p\.|seite|página)?[\s\-–—\[\](){}|.·•*_~:]*([0-9lIO]{1,4}|[ivxl]{1,7})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIO]{1,4})?[\s\-–—\[\](){}|.·•*_~]*$"
-DECORATED = r"(?i)page|pag\.|p\.|seite|[\[\]|]|^\s*[-–—].*[-–—]\s*$"
+NUMBER_LINE = re.compile(r"(?i)^[\s\-–—\[\](){}|.·•*_~]*(?:page|pag\.|p\.|seite|página)?[\s\-–—\[\](){}|.·•*_~:]*([0-9lIO]{1,4}|[ivxl]{1,7})(?:\s*(?:of|/|von|de|sur)\s*[0-9lIO]{1,4})?[\s\-–—\[\](){}|.·•*_~]*$")
+DECORATED = re.compile(r"(?i)page|pag\.|p\.|seite|[\[\]|]|^\s*[-–—].*[-–—]\s*$")
 TRAILING_NUMBER = r"[\s|·•–—\-:,/]*\b(?:page\s*)?[0-9lIO]{1,4}\s*$"
 LEADING_NUMBER = r"^\s*[0-9lIO]{1,4}\b[\s|·•–—\-:,/]*"
 
-# symbols of lines and states of the model
+# symbols of lines and states of the model; a line of text that nothing marks is body
 BLANK, NUMBER, ODD_NUMBER, REPEATED, HEADLIKE, TEXT = range(6)
 S_BREAK, S_NUMBER, S_RUNNING, S_BODY = range(4)
+_LETTERS = "bprt"
 _START = np.array([0.05, 0.1, 0.3, 0.55])
 _STEP = np.array([[0.1, 0.1, 0.05, 0.75], [0.5, 0.01, 0.15, 0.34], [0.5, 0.02, 0.03, 0.45], [0.14, 0.03, 0.01, 0.82]])
 _EMIT = np.array([
-    [0.999, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002],
-    [0.0005, 0.99, 0.008, 0.0005, 0.0005, 0.0005],
-    [0.0005, 0.001, 0.001, 0.82, 0.1705, 0.007],
-    [0.0005, 0.0005, 0.01, 0.001, 0.004, 0.984],
+    [1.0, 0, 0, 0, 0, 0],
+    [0, 0.98, 0.01, 0.005, 0.005, 0],
+    [0, 0.002, 0.003, 0.82, 0.175, 0],
+    [0, 0.001, 0.01, 0.001, 0.004, 0.984],
 ])
 _PRIOR_WEIGHT = 400.0
 
@@ -77,9 +83,71 @@ def letters_only(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"[-'’.]", "")
 
 
-def vocabulary(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fold(text: str) -> str:
+    """``fold`` of one string."""
+    out = "".join(c for c in text.lower().translate(_TABLE) if c.isalpha())
+    for a, b in GROUPS:
+        out = out.replace(a, b)
+    return out
+
+
+_TABLE = str.maketrans(SINGLE_FROM, SINGLE_TO)
+_ROMAN = re.compile(r"(?i)(?:x{0,3})(?:l?)(?:x{0,3})(?:ix|iv|v?i{0,3})$")
+_FIRST = (
+    "what string, item_table string, item_id long, document string, page int, pattern string, line_no long, raw string, n long, shaped boolean, number int, style string, decorated boolean, key string, ruled boolean"
+)
+
+
+def _number(text: str) -> tuple[int | None, str]:
+    """Value and style of a printed page number."""
+    t = text.lower()
+    if _ROMAN.match(t) and t.strip("l"):
+        values = [{"i": 1, "v": 5, "x": 10, "l": 50}[c] for c in t]
+        return sum(-v if any(w > v for w in values[i + 1 : i + 2]) else v for i, v in enumerate(values)), "roman"
+    digits = t.translate(str.maketrans("lio", "110"))
+    return (int(digits), "digits") if digits.isdigit() else (None, "digits")
+
+
+def _edge(line: str) -> tuple:
+    """(shaped, number, style, decorated, key, ruled) of an outermost line."""
+    found = NUMBER_LINE.match(line)
+    if found:
+        number, style = _number(found[1])
+        return True, number, style, bool(DECORATED.search(line)), None, False
+    key = _fold(_LEADING.sub("", _TRAILING.sub("", line)))
+    return False, None, "digits", False, key if len(key) >= 4 else None, bool(_RULED.search(line))
+
+
+_TRAILING, _LEADING, _RULED = re.compile(TRAILING_NUMBER, re.I), re.compile(LEADING_NUMBER, re.I), re.compile(r"\s[|·•]\s")
+
+
+def first_pass(pages: DataFrame) -> DataFrame:
+    """One reading of all texts: rows 'word' (raw word and its count in a batch), 'page' (a letter for each line) and 'edge'."""
+    names = [c.split()[0] for c in _FIRST.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            rows: list[tuple] = []
+            for table, item, document, page, text in zip(*(batch[c] for c in ("item_table", "item_id", "document", "page", "text"))):
+                counts.update(text.lower().split())
+                lines = _page_lines(text)
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                pattern = ["b"] * len(lines)
+                for i in full:
+                    pattern[i] = "t"
+                rows.append(("page", table, item, document, page, "".join(pattern), *[None] * 9))
+                rows += [("edge", table, item, document, page, None, i + 1, None, None, *_edge(lines[i])) for i in sorted({*full[:2], *full[-2:]})]
+            rows += [("word", None, None, None, None, None, None, w, n, *[None] * 6) for w, n in counts.items()]
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select("item_table", "item_id", "document", "page", "text").mapInPandas(read, _FIRST)
+
+
+def vocabulary(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, n, fold) of all words, and (fold, reading, n_reading): the commonest word of each folded form."""
-    words = pages.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    raw = seen.where("what = 'word'").groupBy("raw").agg(F.sum("n").alias("n"))
+    words = raw.select("n", F.explode(F.regexp_extract_all("raw", F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
     words = words.where(F.col("word").rlike(r"\p{L}"))
     words = cut(words.withColumn("fold", fold(F.col("word"))).where("fold <> ''"))
     readings = words.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("reading"), F.col("m.n").alias("n_reading"))
@@ -96,80 +164,76 @@ def misreadings(words: DataFrame, readings: DataFrame) -> DataFrame:
     return both.where(plain_reading & (letters_only(F.col("word")) != letters_only(F.col("reading")))).select("word", "reading")
 
 
-def edge_lines(pages: DataFrame) -> DataFrame:
-    """The two outermost non-blank lines at either end of each page: table, item, document, page, line_no, line, key, number."""
-    lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
-    base = pages.select("item_table", "item_id", "document", "page", "title", numbered.alias("l")).where(F.size("l") > 0)
-    edges = F.array_distinct(F.concat(F.slice("l", 1, 2), F.slice("l", F.greatest(F.lit(1), F.size("l") - 1), F.lit(2))))
-    out = base.select("item_table", "item_id", "document", "page", "title", F.explode(edges).alias("e")).select("item_table", "item_id", "document", "page", "title", "e.line_no", "e.line")
-    digits = F.translate(F.lower(F.regexp_extract("line", NUMBER_LINE, 1)), "lio", "110")
-    roman = F.lower(F.regexp_extract("line", NUMBER_LINE, 1))
-    is_roman = roman.rlike("^[ivxl]+$") & roman.rlike("^x{0,3}l?x{0,3}(?:ix|iv|v?i{0,3})$")
-    value = lambda c: {"i": 1, "v": 5, "x": 10, "l": 50}[c]
-    tokens = F.transform(F.split(roman, ""), lambda c: F.coalesce(*[F.when(c == k, F.lit(value(k))) for k in "ivxl"], F.lit(0)))
-    of_roman = F.aggregate(tokens, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda a, v: F.struct((a["sum"] + v - F.when(v > a["last"], 2 * a["last"]).otherwise(0)).alias("sum"), v.alias("last")))["sum"]
-    shaped = F.col("line").rlike(NUMBER_LINE)
-    plain = F.when(shaped & digits.rlike("^[0-9]+$"), digits.cast("int"))
-    number = F.coalesce(F.when(shaped & is_roman & ~roman.rlike("^l+$"), of_roman), plain)
-    text = F.regexp_replace(F.regexp_replace("line", TRAILING_NUMBER, ""), LEADING_NUMBER, "")
-    key = F.when(~shaped & (F.length(fold(text)) >= 4), fold(text))
-    return out.withColumns({
-        "shaped": shaped, "number": number, "style": F.when(is_roman & ~roman.rlike("^l+$"), "roman").otherwise("digits"), "decorated": shaped & F.col("line").rlike(DECORATED), "key": key,
-        "titled": F.coalesce(key == fold(F.regexp_replace(F.regexp_replace("title", TRAILING_NUMBER, ""), LEADING_NUMBER, "")), F.lit(False)),
-        "ruled": F.col("line").rlike(r"\s[|·•]\s"),
-    })
-
-
-def edge_symbols(edges: DataFrame) -> DataFrame:
-    """(table, item, marks): line_no and symbol of the outermost lines that are more than text."""
-    edges = cut(edges)
+def edge_symbols(seen: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """(table, item, marks): line_no and symbol of the outermost lines that are more than text. ``titles``: document, title."""
+    edges = seen.where("what = 'edge'").drop("what", "pattern", "raw", "n").dropDuplicates(["item_table", "item_id", "line_no"])
+    edges = edges.withColumn("offset", F.col("number") - F.col("page"))
     pages = edges.groupBy("document").agg(F.count_distinct("item_table", "item_id").alias("pages"))
     keys = edges.where("key IS NOT NULL").groupBy("document", "key").agg(F.count_distinct("item_table", "item_id").alias("same"))
-    offsets = edges.where("number IS NOT NULL").groupBy("document", "style", (F.col("number") - F.col("page")).alias("offset")).agg(F.count_distinct("item_table", "item_id").alias("agreeing"))
-    all_ = edges.withColumn("offset", F.col("number") - F.col("page")).join(pages, "document").join(keys, ["document", "key"], "left").join(offsets, ["document", "style", "offset"], "left")
+    offsets = edges.where("number IS NOT NULL").groupBy("document", "style", "offset").agg(F.count_distinct("item_table", "item_id").alias("agreeing"))
+    all_ = edges.join(pages, "document").join(keys, ["document", "key"], "left").join(offsets, ["document", "style", "offset"], "left")
+    if titles is None:
+        all_ = all_.withColumn("title_key", F.lit(None).cast("string"))
+    else:
+        bare = F.regexp_replace(F.regexp_replace("title", "(?i)" + TRAILING_NUMBER, ""), "(?i)" + LEADING_NUMBER, "")
+        all_ = all_.join(titles.groupBy("document").agg(F.min(fold(bare)).alias("title_key")), "document", "left")
     repeated = (F.col("same") >= 2) & (F.col("same") >= 0.3 * (F.col("pages") - 1))
-    headlike = F.col("key").isNotNull() & (F.col("page") > 1) & (F.col("pages") <= 3) & (F.col("titled") | F.col("ruled"))
+    headlike = F.col("key").isNotNull() & (F.col("page") > 1) & (F.col("pages") >= 3) & (F.col("ruled") | F.coalesce(F.col("key") == F.col("title_key"), F.lit(False)))
     counted = (F.col("agreeing") >= 2) | F.col("decorated") | (F.col("pages") <= 2) | (F.col("style") == "roman")
     symbol = F.when(F.col("shaped") & F.col("number").isNotNull(), F.when(counted, NUMBER).otherwise(ODD_NUMBER)).when(repeated, REPEATED).when(headlike, HEADLIKE)
     marked = all_.withColumn("symbol", symbol).where("symbol IS NOT NULL")
     return marked.groupBy("item_table", "item_id").agg(F.collect_set(F.struct(F.col("line_no"), F.col("symbol").cast("long").alias("symbol"))).alias("marks"))
 
 
-def symbols_of(lines: list[str], marks) -> np.ndarray:
-    out = np.array([TEXT if x.strip() else BLANK for x in lines], dtype=np.int64)
+def symbols_of(pattern: str, marks) -> np.ndarray:
+    out = np.frombuffer(pattern.encode(), np.uint8)
+    out = np.where(out == ord("t"), TEXT, BLANK)
     for m in marks if marks is not None else ():
         out[int(m["line_no"]) - 1] = int(m["symbol"])
     return out
 
 
-def viterbi(symbols: np.ndarray, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Most probable states, all arguments but the symbols in logarithms."""
-    n = len(symbols)
-    back = np.zeros((n, len(start)), dtype=np.int8)
-    score = start + emit[:, symbols[0]]
-    for i in range(1, n):
-        through = score[:, None] + step
-        back[i] = through.argmax(axis=0)
-        score = through.max(axis=0) + emit[:, symbols[i]]
-    out = np.zeros(n, dtype=np.int8)
-    out[-1] = score.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+def viterbi(sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
+    """Most probable states of many sequences at once, all model arguments in logarithms."""
+    lengths = np.array([len(s) for s in sequences])
+    order = np.argsort(-lengths, kind="stable")
+    longest = int(lengths.max(initial=0))
+    n, k = len(sequences), len(start)
+    symbols = np.zeros((n, longest), dtype=np.int64)
+    for row, i in enumerate(order):
+        symbols[row, : lengths[i]] = sequences[i]
+    alive = [int(np.searchsorted(-lengths[order], -t, side="left")) for t in range(longest + 1)]  # sequences longer than t
+    back = np.zeros((longest, n, k), dtype=np.int8)
+    score = start + emit[:, symbols[:, 0]].T if longest else np.zeros((n, k))
+    for t in range(1, longest):
+        m = alive[t]
+        through = score[:m, :, None] + step[None]
+        back[t, :m] = through.argmax(axis=1)
+        score[:m] = through.max(axis=1) + emit[:, symbols[:m, t]].T
+    state = score.argmax(axis=1)
+    out = np.zeros((n, longest), dtype=np.int8)
+    for t in range(longest - 1, -1, -1):
+        m = alive[t]
+        out[:m, t] = state[:m]
+        if t:
+            state[:m] = back[t, np.arange(m), state[:m]]
+    found: list[np.ndarray] = [None] * n  # type: ignore[list-item]
+    for row, i in enumerate(order):
+        found[i] = out[row, : lengths[i]]
+    return found
 
 
 def train(sequences: list[np.ndarray], rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Viterbi training from the layout prior; returns logarithms of start, step and emission."""
-    start, step, emit = (np.log(x) for x in (_START, _STEP, _EMIT))
-    for _ in range(rounds):
-        a, b, c = _START * _PRIOR_WEIGHT, _STEP * _PRIOR_WEIGHT, _EMIT * _PRIOR_WEIGHT
-        for s in sequences:
-            states = viterbi(s, start, step, emit)
-            a[states[0]] += 1
-            np.add.at(b, (states[:-1], states[1:]), 1)
-            np.add.at(c, (states, s), 1)
-        start, step, emit = np.log(a / a.sum()), np.log(b / b.sum(axis=1, keepdims=True)), np.log(c / c.sum(axis=1, keepdims=True))
+    with np.errstate(divide="ignore"):
+        start, step, emit = (np.log(x) for x in (_START, _STEP, _EMIT))
+        for _ in range(rounds):
+            a, b, c = _START * _PRIOR_WEIGHT, _STEP * _PRIOR_WEIGHT, _EMIT * _PRIOR_WEIGHT
+            for s, states in zip(sequences, viterbi(sequences, start, step, emit)):
+                a[states[0]] += 1
+                np.add.at(b, (states[:-1], states[1:]), 1)
+                np.add.at(c, (states, s), 1)
+            start, step, emit = np.log(a / a.sum()), np.log(b / b.sum(axis=1, keepdims=True)), np.log(c / c.sum(axis=1, keepdims=True))
     return start, step, emit
 
 
@@ -177,56 +241,76 @@ def _page_lines(text: str) -> list[str]:
     return text.replace("\r", "").split("\n")
 
 
-def fit(pages: DataFrame, limit: int = TRAIN_PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model, from the ``limit`` pages with the smallest hash; the sample is bounded, so it may come to the driver."""
-    rows = pages.orderBy(F.xxhash64("item_table", "item_id"), "item_table", "item_id").select("text", "marks").limit(limit).collect()
-    return train([symbols_of(_page_lines(r["text"]), r["marks"]) for r in rows])
+def label_pages(seen: DataFrame, marks: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
+    """(table, item, document, page, states): a letter for each line, b(reak), p(age number), r(unning) or t(ext).
 
+    The model is fitted on the ``train_pages`` pages with the smallest hash; the sample is bounded, so it may come to the driver.
+    """
+    pages = seen.where("what = 'page'").select("item_table", "item_id", "document", "page", "pattern").dropDuplicates(["item_table", "item_id"])
+    pages = cut(pages.join(marks, ["item_table", "item_id"], "left"))
+    sample = pages.orderBy(F.xxhash64("item_table", "item_id"), "item_table", "item_id").select("pattern", "marks").limit(train_pages).collect()
+    model = train([symbols_of(r["pattern"], r["marks"]) for r in sample if r["pattern"]])
 
-_OUT = "item_table string, item_id long, document string, page int, line_no long, what string, word string, rest string, rest_line long"
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = np.array(list(_LETTERS))
+        for batch in batches:
+            sequences = [symbols_of(p, m) for p, m in zip(batch["pattern"], batch["marks"])]
+            out = batch[["item_table", "item_id", "document", "page"]].copy()
+            out["states"] = ["".join(letters[s]) for s in viterbi(sequences, *model)]
+            yield out
 
+    return cut(pages.mapInPandas(decode, "item_table string, item_id long, document string, page int, states string"))
 
-def decode(pages: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], known: frozenset[str]) -> DataFrame:
-    """Rows of labelled lines: what is 'running', 'page_number', 'word' (one not known), 'broken' (word and rest) or 'opening'."""
-    start, step, emit = model
+
+_SECOND = "what string, item_table string, item_id long, line_no long, word string, rests array<struct<line_no: long, word: string>>"
+
+
+def second_pass(pages: DataFrame, known: frozenset[str]) -> DataFrame:
+    """Second reading: rows 'word' and 'first' (a word not known, inside or at the opening of a line), 'broken' (the part of a
+    word before a line's end and the openings of the next lines) and 'top' (the openings of a page's first lines).
+
+    Only the two outermost lines at either end of a page can be other than body, so five lines ahead hold the next body line.
+    """
     shipped = pages.sparkSession.sparkContext.broadcast(known)
+    names = [c.split()[0] for c in _SECOND.split(", ")][:5] + ["rests"]
+
+    def opening(line: str) -> str | None:
+        found = _OPENING.match(line)
+        return found[1] if found else None
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shipped.value
         for batch in batches:
             rows: list[tuple] = []
-            for table, item, document, page, text, marks in zip(*(batch[c] for c in ("item_table", "item_id", "document", "page", "text", "marks"))):
+            for table, item, text in zip(*(batch[c] for c in ("item_table", "item_id", "text"))):
                 lines = _page_lines(text)
-                states = viterbi(symbols_of(lines, marks), start, step, emit)
-                body = [i for i, s in enumerate(states) if s == S_BODY and lines[i].strip()]
-                head = (table, item, document, page)
-                rows += [(*head, i + 1, "running" if s == S_RUNNING else "page_number", None, None, None) for i, s in enumerate(states) if s in (S_RUNNING, S_NUMBER) and lines[i].strip()]
-                skip = 0
-                for k, i in enumerate(body):
-                    line = lines[i]
-                    found = _WORD.findall(line.lower())
-                    if k == 0:
-                        opening = _OPENING.match(line)
-                        rows.append((*head, i + 1, "opening", opening[1] if opening else None, None, None))
-                    broken = _BREAK.search(line)
-                    upto = len(found) - 1 if broken else len(found)
-                    rows += [(*head, i + 1, "word", w, None, None) for w in found[skip:upto] if w not in words]
-                    skip = 0
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                if full:
+                    rows.append(("top", table, item, full[0] + 1, None, [(i + 1, opening(lines[i])) for i in full[:5]]))
+                for k, i in enumerate(full):
+                    line = lines[i].rstrip()
+                    raw = line.lower().split()
+                    broken = _BREAK.search(line) if line[-1] in _BREAK_MARKS else None
                     if broken:
-                        after = body[k + 1] if k + 1 < len(body) else None
-                        rest = _OPENING.match(lines[after]) if after is not None else None
-                        rows.append((*head, i + 1, "broken", broken[1], rest[1] if rest else None, None if after is None else after + 1))
-                        skip = 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+                        rows.append(("broken", table, item, i + 1, broken[1], [(j + 1, opening(lines[j])) for j in full[k + 1 : k + 6]]))
+                        raw.pop()
+                    for at, x in enumerate(raw):
+                        if x in words or x.strip(_PUNCTUATION) in words:
+                            continue
+                        rows += [("first" if at == 0 else "word", table, item, i + 1, w, None) for w in _WORD.findall(x) if w not in words and not w.isdigit()]
+            yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("item_table", "item_id", "document", "page", "text", "marks").mapInPandas(label, _OUT)
+    return pages.select("item_table", "item_id", "text").mapInPandas(read, _SECOND)
 
 
-def _next_openings(labelled: DataFrame) -> DataFrame:
-    """For each page with body lines: the opening of its document's next page that has any (in blocks of pages, see below)."""
-    opening = F.struct(F.col("item_table").alias("t"), F.col("item_id").alias("i"), F.col("line_no").alias("l"), F.col("word").alias("w"))
-    pages = labelled.where("what = 'opening'").select("item_table", "item_id", "document", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own")).distinct()
-    # a document of very many pages is cut into blocks of pages, and the blocks' first openings are followed in the same way
+def _next_openings(tops: DataFrame) -> DataFrame:
+    """For each page with body lines: the opening of its document's next page that has any.
+
+    ``tops``: item_table, item_id, document, page, own (line_no, word). A document of very many pages is cut into blocks of
+    pages, and the blocks' first openings are followed in the same way.
+    """
+    opening = F.struct(F.col("item_table").alias("t"), F.col("item_id").alias("i"), F.col("own.line_no").alias("l"), F.col("own.word").alias("w"))
+    pages = tops.select("item_table", "item_id", "document", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own"))
     inside = Window.partitionBy("document", "block").orderBy("page", "item_id")
     heads = pages.groupBy("document", "block").agg(F.min_by("own", F.struct("page", "item_id")).alias("head"))
     heads = heads.withColumn("after_block", F.lead("head").over(Window.partitionBy("document").orderBy("block"))).drop("head")
@@ -234,30 +318,36 @@ def _next_openings(labelled: DataFrame) -> DataFrame:
     return led.select("item_table", "item_id", F.coalesce("after", "after_block").alias("next"))
 
 
-def noisy_lines(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> tuple[DataFrame, DataFrame]:
-    """Noise (item_table, item_id, line_no, noise_kind) and the corrections behind it (…, word, rest, reading, what).
+def _is_body(line_no: Column) -> Column:
+    return F.substring("states", line_no.cast("int"), F.lit(1)) == "t"
+
 
-    ``pages`` has item_table, item_id, document, page, title (or null), text.
+def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Noise (item_table, item_id, line_no, noise_kind), corrections (…, what, word, rest, reading, rest_*), labelled pages.
+
+    ``pages`` has item_table, item_id, document, page, text; ``titles`` (document, title) is optional.
     """
-    pages = pages.where(F.col("text").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    words, readings = vocabulary(pages)
+    pages = pages.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    seen = cut(first_pass(pages))
+    words, readings = vocabulary(seen)
     wrong = cut(misreadings(words, readings))
     known_rows = readings.where(F.col("n_reading") >= LEAST_READING).orderBy(F.desc("n_reading"), "reading").limit(KNOWN_WORDS).collect()
-    known = frozenset(r["reading"] for r in known_rows)
-    marked = pages.drop("title").join(edge_symbols(edge_lines(pages)), ["item_table", "item_id"], "left")
-    marked = cut(marked)
-    labelled = cut(decode(marked, fit(marked, train_pages), known))
-
-    fixed = labelled.where("what IN ('running', 'page_number')").select("item_table", "item_id", "line_no", F.col("what").alias("noise_kind"))
-    misread = labelled.where("what = 'word'").join(broadcast_if_small(wrong), "word").select("item_table", "item_id", "line_no", "word", F.lit(None).cast("string").alias("rest"), "reading", F.lit("word").alias("what"))
-
-    broken = labelled.where("what = 'broken'").join(_next_openings(labelled), ["item_table", "item_id"], "left")
-    there = F.col("rest_line").isNotNull()
-    rest = F.when(there, F.col("rest")).otherwise(F.col("next.w"))
-    broken = broken.select(
-        "item_table", "item_id", "line_no", "word", rest.alias("rest"),
+    labels = label_pages(seen, edge_symbols(seen, titles), train_pages)
+    item = ["item_table", "item_id"]
+    found = cut(second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item).distinct())
+
+    letters = labels.select(*item, F.posexplode(F.split("states", "")).alias("at", "state")).where("state IN ('p', 'r')")
+    fixed = letters.select(*item, (F.col("at") + 1).cast("long").alias("line_no"), F.when(F.col("state") == "r", "running").otherwise("page_number").alias("noise_kind"))
+
+    first_body = F.element_at(F.filter("rests", lambda r: _is_body(r["line_no"])), 1)
+    some_body = F.exists("rests", lambda r: _is_body(r["line_no"]))
+    tops = found.where((F.col("what") == "top") & some_body).withColumn("own", first_body)
+    ends = found.where((F.col("what") == "broken") & _is_body(F.col("line_no"))).withColumn("here", F.when(some_body, first_body)).join(_next_openings(tops), item, "left")
+    there = F.col("here").isNotNull()
+    broken = ends.select(
+        *item, "line_no", "word", F.when(there, F.col("here.word")).otherwise(F.col("next.w")).alias("rest"),
         F.when(there, F.col("item_table")).otherwise(F.col("next.t")).alias("rest_table"), F.when(there, F.col("item_id")).otherwise(F.col("next.i")).alias("rest_item"),
-        F.when(there, F.col("rest_line")).otherwise(F.col("next.l")).alias("rest_line"),
+        F.when(there, F.col("here.line_no")).otherwise(F.col("next.l")).alias("rest_line"),
     ).where("rest IS NOT NULL")
     joined = F.lower(F.concat("word", "rest"))
     broken = broken.withColumn("joined", joined).withColumn("fold", fold(joined))
@@ -265,15 +355,93 @@ def noisy_lines(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> tuple[DataF
     trusted = F.coalesce(F.col("n_reading") >= 2, F.lit(False))
     own_hyphen = F.when(trusted, F.col("reading").contains("-")).otherwise(F.col("word").contains("-") | ~F.substring("rest", 1, 1).rlike(r"\p{Ll}|[0-9@+]"))
     broken = cut(broken.withColumn("own_hyphen", own_hyphen).withColumn("trusted", trusted))
-    hyphens = broken.where("NOT own_hyphen").select("item_table", "item_id", "line_no", F.lit("hyphen").alias("noise_kind"))
+    hyphens = broken.where("NOT own_hyphen").select(*item, "line_no", F.lit("hyphen").alias("noise_kind"))
+
+    # a word at the opening of a line counts on its own only where it isn't the rest of a broken one
+    rests = broken.select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no")).distinct()
+    body_words = found.where(F.col("what").isin("word", "first") & _is_body(F.col("line_no")))
+    single = body_words.where("what = 'word'").unionByName(body_words.where("what = 'first'").join(rests, [*item, "line_no"], "left_anti"))
+    misread = single.join(broadcast_if_small(wrong), "word").select(*item, "line_no", "word", "reading")
 
     # misread characters in a word in two lines: the line of the part that differs from its reading
     off = broken.where(F.col("trusted") & (letters_only(F.col("joined")) != letters_only(F.col("reading"))) & (F.coalesce("n_joined", F.lit(0)) <= ODD_SHARE * F.col("n_reading")))
     plain = letters_only(F.col("reading"))
-    first_off = ~F.startswith(plain, letters_only(F.col("word")))
-    second_off = ~F.endswith(plain, letters_only(F.col("rest")))
-    split_misread = off.where(first_off).select("item_table", "item_id", "line_no").unionByName(off.where(second_off).select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no")))
-    chars = misread.select("item_table", "item_id", "line_no").unionByName(split_misread).withColumn("noise_kind", F.lit("char"))
+    first_off = off.where(~F.startswith(plain, letters_only(F.col("word")))).select(*item, "line_no")
+    second_off = off.where(~F.endswith(plain, letters_only(F.col("rest")))).select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no"))
+    chars = misread.select(*item, "line_no").unionByName(first_off).unionByName(second_off).withColumn("noise_kind", F.lit("char"))
     noise = fixed.unionByName(chars).unionByName(hyphens).distinct()
-    corrections = misread.unionByName(broken.where("NOT own_hyphen").select("item_table", "item_id", "line_no", "word", "rest", F.when(F.col("trusted"), F.col("reading")).alias("reading"), F.lit("broken").alias("what")))
-    return noise, corrections.distinct()
+    none = F.lit(None)
+    corrections = misread.select(*item, "line_no", F.lit("word").alias("what"), "word", none.cast("string").alias("rest"), "reading", none.cast("string").alias("rest_table"), none.cast("long").alias("rest_item"), none.cast("long").alias("rest_line"))
+    joins = broken.where("NOT own_hyphen").select(*item, "line_no", F.lit("broken").alias("what"), "word", "rest", F.when(F.col("trusted"), F.col("reading")).otherwise(F.col("joined")).alias("reading"), "rest_table", "rest_item", "rest_line")
+    return noise, corrections.unionByName(joins).distinct(), labels
+
+
+def _cased(original: str, reading: str) -> str:
+    """``reading`` in the case of ``original``."""
+    if len(original) > 1 and original.isupper():
+        return reading.upper()
+    return reading[:1].upper() + reading[1:] if original[:1].isupper() else reading
+
+
+def repair_page(text: str, states: str, fixes) -> str:
+    """One page's paragraphs, separated by blank lines: body lines only, words whole and as read.
+
+    A blank line next to a header, footer or page number, or at the page's edge, separates no paragraphs.
+    """
+    lines = _page_lines(text)
+    words: dict[int, dict[str, str]] = {}
+    ends: dict[int, tuple[str, str]] = {}
+    eaten: dict[int, str] = {}
+    for f in fixes if fixes is not None else ():
+        if f["what"] == "word":
+            words.setdefault(int(f["line_no"]), {})[f["word"]] = f["reading"]
+        elif f["what"] == "broken":
+            ends[int(f["line_no"])] = (f["word"], f["reading"])
+        else:
+            eaten[int(f["line_no"])] = f["word"]
+    out: list[str] = []
+    gap, solid = False, True  # solid: the last line that counts was body
+    for i, (line, state) in enumerate(zip(lines, states), 1):
+        if state != "t":
+            gap, solid = gap or (state == "b" and solid and bool(out)), state == "b" and solid
+            continue
+        line = line.strip()
+        if i in words:
+            known = words[i]
+            line = _WORD.sub(lambda m: _cased(m[0], known[m[0].lower()]) if m[0].lower() in known else m[0], line)
+        if i in ends and ends[i][0] in line:
+            line = line[: line.rindex(ends[i][0])] + _cased(ends[i][0], ends[i][1])
+        if i in eaten:
+            line = line[line.find(eaten[i]) + len(eaten[i]) :].strip() if eaten[i] in line else line
+        if gap and solid and out:
+            out.append("\n\n")
+        elif out and line and line[0] not in ".,;:!?)":
+            out.append(" ")
+        out.append(line)
+        gap, solid = False, True
+    return "".join(out).strip()
+
+
+def paragraphs(pages: DataFrame, labels: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(document, pages, text): each document's running text in its order, paragraphs separated by blank lines."""
+    item = ["item_table", "item_id"]
+    own = corrections.select(*item, "line_no", "what", "word", "reading")
+    eaten = corrections.where("what = 'broken'").select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no"), F.lit("eaten").alias("what"), F.col("rest").alias("word"), F.lit(None).cast("string").alias("reading"))
+    fixes = own.unionByName(eaten).groupBy(*item).agg(F.collect_list(F.struct("line_no", "what", "word", "reading")).alias("fixes"))
+    texts = pages.where(F.col("text").isNotNull()).select(*item, "text").dropDuplicates(item)
+    joined = labels.join(fixes, item, "left").join(texts, item)
+
+    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["item_table", "item_id", "document", "page"]].copy()
+            out["text"] = [repair_page(t, s, f) for t, s, f in zip(batch["text"], batch["states"], batch["fixes"])]
+            yield out
+
+    fixed = joined.select(*item, "document", "page", "text", "states", "fixes").mapInPandas(repair, "item_table string, item_id long, document string, page int, text string")
+    ordered = fixed.where("text <> ''").groupBy("document").agg(F.sort_array(F.collect_list(F.struct("page", "item_id", "text"))).alias("p"))
+
+    def add(acc: Column, p: Column) -> Column:
+        glue = F.when(acc == "", "").when(acc.rlike(r"[.!?:][\"'”’)]*$"), "\n\n").when(p["text"].rlike(r"^[.,;:!?)]"), "").otherwise(" ")
+        return F.concat(acc, glue, p["text"])
+
+    return ordered.select("document", F.size("p").cast("long").alias("pages"), F.aggregate("p", F.lit(""), add).alias("text"))
