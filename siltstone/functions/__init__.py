@@ -1,0 +1 @@
+"""Scalar functions as column expressions, and the few that need Arrow UDFs."""
