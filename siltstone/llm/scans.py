@@ -93,37 +93,36 @@ def _fold(text: str) -> str:
 
 _TABLE = str.maketrans(SINGLE_FROM, SINGLE_TO)
 _ROMAN = re.compile(r"(?i)(?:x{0,3})(?:l?)(?:x{0,3})(?:ix|iv|v?i{0,3})$")
-_FIRST = (
-    "what string, item_table string, item_id long, document string, page int, pattern string, line_no long, raw string, n long, shaped boolean, number int, style string, decorated boolean, key string, ruled boolean"
-)
+_EDGE = "line_no: long, shaped: boolean, number: int, roman: boolean, decorated: boolean, key: string, ruled: boolean, repeats: boolean"
+_FIRST = f"item_table string, item_id long, document string, page int, pattern string, edges array<struct<{_EDGE}>>, raw string, n long"
 
 
-def _number(text: str) -> tuple[int | None, str]:
-    """Value and style of a printed page number."""
+def _number(text: str) -> tuple[int | None, bool]:
+    """Value of a printed page number, and whether it is Roman."""
     t = text.lower()
     if _ROMAN.match(t) and t.strip("l"):
         values = [{"i": 1, "v": 5, "x": 10, "l": 50}[c] for c in t]
-        return sum(-v if any(w > v for w in values[i + 1 : i + 2]) else v for i, v in enumerate(values)), "roman"
+        return sum(-v if any(w > v for w in values[i + 1 : i + 2]) else v for i, v in enumerate(values)), True
     digits = t.translate(str.maketrans("lio", "110"))
-    return (int(digits), "digits") if digits.isdigit() else (None, "digits")
+    return (int(digits) if digits.isdigit() else None), False
 
 
 def _edge(line: str) -> tuple:
-    """(shaped, number, style, decorated, key, ruled) of an outermost line."""
+    """(shaped, number, roman, decorated, key, ruled) of an outermost line."""
     found = NUMBER_LINE.match(line)
     if found:
-        number, style = _number(found[1])
-        return True, number, style, bool(DECORATED.search(line)), None, False
+        return (True, *_number(found[1]), bool(DECORATED.search(line)), None, False)
     key = _fold(_LEADING.sub("", _TRAILING.sub("", line)))
-    return False, None, "digits", False, key if len(key) >= 4 else None, bool(_RULED.search(line))
+    return False, None, False, False, key if len(key) >= 4 else None, bool(_RULED.search(line))
 
 
 _TRAILING, _LEADING, _RULED = re.compile(TRAILING_NUMBER, re.I), re.compile(LEADING_NUMBER, re.I), re.compile(r"\s[|·•]\s")
 
 
 def first_pass(pages: DataFrame) -> DataFrame:
-    """One reading of all texts: rows 'word' (raw word and its count in a batch), 'page' (a letter for each line) and 'edge'."""
-    names = [c.split()[0] for c in _FIRST.split(", ")]
+    """One reading of all texts: a row for each page (a letter for each line, and its outermost lines) and, with null item_id,
+    rows of raw words and their counts in a batch."""
+    names = ["item_table", "item_id", "document", "page", "pattern", "edges", "raw", "n"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,17 +135,21 @@ def first_pass(pages: DataFrame) -> DataFrame:
                 pattern = ["b"] * len(lines)
                 for i in full:
                     pattern[i] = "t"
-                rows.append(("page", table, item, document, page, "".join(pattern), *[None] * 9))
-                rows += [("edge", table, item, document, page, None, i + 1, None, None, *_edge(lines[i])) for i in sorted({*full[:2], *full[-2:]})]
-            rows += [("word", None, None, None, None, None, None, w, n, *[None] * 6) for w, n in counts.items()]
-            yield pd.DataFrame(rows, columns=names)
+                edges, keys = [], set()
+                for i in sorted({*full[:2], *full[-2:]}):
+                    edge = _edge(lines[i])
+                    edges.append((i + 1, *edge, edge[4] in keys))
+                    keys.add(edge[4])
+                rows.append((table, item, document, page, "".join(pattern), edges, None, None))
+            rows += [(None, None, None, None, None, None, w, n) for w, n in counts.items()]
+            yield pd.DataFrame(rows, columns=names).astype({"item_id": "Int64", "page": "Int32", "n": "Int64"})
 
     return pages.select("item_table", "item_id", "document", "page", "text").mapInPandas(read, _FIRST)
 
 
 def vocabulary(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, n, fold) of all words, and (fold, reading, n_reading): the commonest word of each folded form."""
-    raw = seen.where("what = 'word'").groupBy("raw").agg(F.sum("n").alias("n"))
+    raw = seen.where("raw IS NOT NULL").groupBy("raw").agg(F.sum("n").alias("n"))
     words = raw.select("n", F.explode(F.regexp_extract_all("raw", F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
     words = words.where(F.col("word").rlike(r"\p{L}"))
     words = cut(words.withColumn("fold", fold(F.col("word"))).where("fold <> ''"))
@@ -164,25 +167,35 @@ def misreadings(words: DataFrame, readings: DataFrame) -> DataFrame:
     return both.where(plain_reading & (letters_only(F.col("word")) != letters_only(F.col("reading")))).select("word", "reading")
 
 
-def edge_symbols(seen: DataFrame, titles: DataFrame | None) -> DataFrame:
-    """(table, item, marks): line_no and symbol of the outermost lines that are more than text. ``titles``: document, title."""
-    edges = seen.where("what = 'edge'").drop("what", "pattern", "raw", "n").dropDuplicates(["item_table", "item_id", "line_no"])
-    edges = edges.withColumn("offset", F.col("number") - F.col("page"))
-    pages = edges.groupBy("document").agg(F.count_distinct("item_table", "item_id").alias("pages"))
-    keys = edges.where("key IS NOT NULL").groupBy("document", "key").agg(F.count_distinct("item_table", "item_id").alias("same"))
-    offsets = edges.where("number IS NOT NULL").groupBy("document", "style", "offset").agg(F.count_distinct("item_table", "item_id").alias("agreeing"))
-    all_ = edges.join(pages, "document").join(keys, ["document", "key"], "left").join(offsets, ["document", "style", "offset"], "left")
-    if titles is None:
-        all_ = all_.withColumn("title_key", F.lit(None).cast("string"))
-    else:
+def edge_symbols(pages: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """(table, item, marks): line_no and symbol of the outermost lines that are more than text. ``titles``: document, title.
+
+    Counts of a document are looked up from small sides: keys and numbers that recur, and titles.
+    """
+    edges = pages.select("item_table", "item_id", F.xxhash64("document").alias("document"), "page", F.explode("edges").alias("e"))
+    edges = edges.select("item_table", "item_id", "document", "page", "e.*").withColumn("key", F.when(F.col("key").isNotNull(), F.xxhash64("key"))).withColumn("offset", F.col("number") - F.col("page"))
+    edges = cut(edges.where("number IS NOT NULL OR key IS NOT NULL"))
+    lengths = broadcast_if_small(cut(pages.groupBy(F.xxhash64("document").alias("document")).agg(F.count("*").alias("pages"))))
+    keys = edges.where("key IS NOT NULL").groupBy("document", "key").agg(F.count_if(~F.col("repeats")).alias("same")).where("same >= 2")
+    offsets = edges.where("number IS NOT NULL").groupBy("document", "roman", "offset").agg(F.count("*").alias("agreeing")).where("agreeing >= 2")
+    line = ["item_table", "item_id", "line_no"]
+
+    def mark(rows: DataFrame, symbol: int) -> DataFrame:
+        return rows.select(*line, F.lit(symbol).cast("long").alias("symbol"))
+
+    text = edges.where("key IS NOT NULL")
+    repeated = text.join(broadcast_if_small(cut(keys)), ["document", "key"]).join(lengths, "document").where(F.col("same") >= 0.3 * (F.col("pages") - 1))
+    inner = text.where("page > 1").join(lengths, "document").where("pages >= 3")
+    marks = mark(repeated, REPEATED).unionByName(mark(inner.where("ruled"), HEADLIKE))
+    if titles is not None:
         bare = F.regexp_replace(F.regexp_replace("title", "(?i)" + TRAILING_NUMBER, ""), "(?i)" + LEADING_NUMBER, "")
-        all_ = all_.join(titles.groupBy("document").agg(F.min(fold(bare)).alias("title_key")), "document", "left")
-    repeated = (F.col("same") >= 2) & (F.col("same") >= 0.3 * (F.col("pages") - 1))
-    headlike = F.col("key").isNotNull() & (F.col("page") > 1) & (F.col("pages") >= 3) & (F.col("ruled") | F.coalesce(F.col("key") == F.col("title_key"), F.lit(False)))
-    counted = (F.col("agreeing") >= 2) | F.col("decorated") | (F.col("pages") <= 2) | (F.col("style") == "roman")
-    symbol = F.when(F.col("shaped") & F.col("number").isNotNull(), F.when(counted, NUMBER).otherwise(ODD_NUMBER)).when(repeated, REPEATED).when(headlike, HEADLIKE)
-    marked = all_.withColumn("symbol", symbol).where("symbol IS NOT NULL")
-    return marked.groupBy("item_table", "item_id").agg(F.collect_set(F.struct(F.col("line_no"), F.col("symbol").cast("long").alias("symbol"))).alias("marks"))
+        wanted = titles.where("title IS NOT NULL").select(F.xxhash64("document").alias("document"), F.xxhash64(fold(bare)).alias("key")).distinct()
+        marks = marks.unionByName(mark(inner.join(broadcast_if_small(cut(wanted)), ["document", "key"], "left_semi"), HEADLIKE))
+    numbers = edges.where("number IS NOT NULL").join(lengths, "document").join(broadcast_if_small(cut(offsets)), ["document", "roman", "offset"], "left")
+    counted = F.col("agreeing").isNotNull() | F.col("decorated") | (F.col("pages") <= 2) | F.col("roman")
+    marks = marks.unionByName(numbers.select(*line, F.when(counted, NUMBER).otherwise(ODD_NUMBER).cast("long").alias("symbol")))
+    one = marks.groupBy(*line).agg(F.min("symbol").alias("symbol"))  # a repeated line outranks a headlike one
+    return one.groupBy("item_table", "item_id").agg(F.collect_list(F.struct("line_no", "symbol")).alias("marks"))
 
 
 def symbols_of(pattern: str, marks) -> np.ndarray:
@@ -241,13 +254,12 @@ def _page_lines(text: str) -> list[str]:
     return text.replace("\r", "").split("\n")
 
 
-def label_pages(seen: DataFrame, marks: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
+def label_pages(pages: DataFrame, marks: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(table, item, document, page, states): a letter for each line, b(reak), p(age number), r(unning) or t(ext).
 
     The model is fitted on the ``train_pages`` pages with the smallest hash; the sample is bounded, so it may come to the driver.
     """
-    pages = seen.where("what = 'page'").select("item_table", "item_id", "document", "page", "pattern").dropDuplicates(["item_table", "item_id"])
-    pages = cut(pages.join(marks, ["item_table", "item_id"], "left"))
+    pages = cut(pages.select("item_table", "item_id", "document", "page", "pattern").join(marks, ["item_table", "item_id"], "left"))
     sample = pages.orderBy(F.xxhash64("item_table", "item_id"), "item_table", "item_id").select("pattern", "marks").limit(train_pages).collect()
     model = train([symbols_of(r["pattern"], r["marks"]) for r in sample if r["pattern"]])
 
@@ -310,7 +322,7 @@ def _next_openings(tops: DataFrame) -> DataFrame:
     pages, and the blocks' first openings are followed in the same way.
     """
     opening = F.struct(F.col("item_table").alias("t"), F.col("item_id").alias("i"), F.col("own.line_no").alias("l"), F.col("own.word").alias("w"))
-    pages = tops.select("item_table", "item_id", "document", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own"))
+    pages = tops.select("item_table", "item_id", F.xxhash64("document").alias("document"), "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own"))
     inside = Window.partitionBy("document", "block").orderBy("page", "item_id")
     heads = pages.groupBy("document", "block").agg(F.min_by("own", F.struct("page", "item_id")).alias("head"))
     heads = heads.withColumn("after_block", F.lead("head").over(Window.partitionBy("document").orderBy("block"))).drop("head")
@@ -332,26 +344,26 @@ def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages:
     words, readings = vocabulary(seen)
     wrong = cut(misreadings(words, readings))
     known_rows = readings.where(F.col("n_reading") >= LEAST_READING).orderBy(F.desc("n_reading"), "reading").limit(KNOWN_WORDS).collect()
-    labels = label_pages(seen, edge_symbols(seen, titles), train_pages)
     item = ["item_table", "item_id"]
-    found = cut(second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item).distinct())
+    compact = cut(seen.where("item_id IS NOT NULL").drop("raw", "n").dropDuplicates(item))
+    labels = label_pages(compact, edge_symbols(compact, titles), train_pages)
+    found = cut(second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item))
 
     letters = labels.select(*item, F.posexplode(F.split("states", "")).alias("at", "state")).where("state IN ('p', 'r')")
     fixed = letters.select(*item, (F.col("at") + 1).cast("long").alias("line_no"), F.when(F.col("state") == "r", "running").otherwise("page_number").alias("noise_kind"))
 
     first_body = F.element_at(F.filter("rests", lambda r: _is_body(r["line_no"])), 1)
     some_body = F.exists("rests", lambda r: _is_body(r["line_no"]))
-    tops = found.where((F.col("what") == "top") & some_body).withColumn("own", first_body)
-    ends = found.where((F.col("what") == "broken") & _is_body(F.col("line_no"))).withColumn("here", F.when(some_body, first_body)).join(_next_openings(tops), item, "left")
-    there = F.col("here").isNotNull()
-    broken = ends.select(
-        *item, "line_no", "word", F.when(there, F.col("here.word")).otherwise(F.col("next.w")).alias("rest"),
-        F.when(there, F.col("item_table")).otherwise(F.col("next.t")).alias("rest_table"), F.when(there, F.col("item_id")).otherwise(F.col("next.i")).alias("rest_item"),
-        F.when(there, F.col("here.line_no")).otherwise(F.col("next.l")).alias("rest_line"),
-    ).where("rest IS NOT NULL")
+    tops = found.where((F.col("what") == "top") & some_body).withColumn("own", first_body).dropDuplicates(item)
+    ends = found.where((F.col("what") == "broken") & _is_body(F.col("line_no"))).withColumn("here", F.when(some_body, first_body))
+    inside = ends.where("here IS NOT NULL").select(*item, "line_no", "word", F.col("here.word").alias("rest"), F.col("item_table").alias("rest_table"), F.col("item_id").alias("rest_item"), F.col("here.line_no").alias("rest_line"))
+    over = ends.where("here IS NULL").join(_next_openings(tops), item)
+    over = over.select(*item, "line_no", "word", F.col("next.w").alias("rest"), F.col("next.t").alias("rest_table"), F.col("next.i").alias("rest_item"), F.col("next.l").alias("rest_line"))
+    broken = inside.unionByName(over).where("rest IS NOT NULL")
     joined = F.lower(F.concat("word", "rest"))
     broken = broken.withColumn("joined", joined).withColumn("fold", fold(joined))
-    broken = broken.join(readings, "fold", "left").join(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
+    counts = broadcast_if_small(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")))
+    broken = broken.join(broadcast_if_small(readings), "fold", "left").join(counts, "joined", "left")
     trusted = F.coalesce(F.col("n_reading") >= 2, F.lit(False))
     own_hyphen = F.when(trusted, F.col("reading").contains("-")).otherwise(F.col("word").contains("-") | ~F.substring("rest", 1, 1).rlike(r"\p{Ll}|[0-9@+]"))
     broken = cut(broken.withColumn("own_hyphen", own_hyphen).withColumn("trusted", trusted))
