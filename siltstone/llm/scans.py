@@ -318,11 +318,11 @@ def second_pass(pages: DataFrame, known: frozenset[str]) -> DataFrame:
 def _next_openings(tops: DataFrame) -> DataFrame:
     """For each page with body lines: the opening of its document's next page that has any.
 
-    ``tops``: item_table, item_id, document, page, own (line_no, word). A document of very many pages is cut into blocks of
+    ``tops``: item_table, item_id, document (hashed), page, own (line_no, word). A document of very many pages is cut into blocks of
     pages, and the blocks' first openings are followed in the same way.
     """
     opening = F.struct(F.col("item_table").alias("t"), F.col("item_id").alias("i"), F.col("own.line_no").alias("l"), F.col("own.word").alias("w"))
-    pages = tops.select("item_table", "item_id", F.xxhash64("document").alias("document"), "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own"))
+    pages = tops.select("item_table", "item_id", "document", "page", F.floor(F.col("page") / PAGE_BLOCK).alias("block"), opening.alias("own"))
     inside = Window.partitionBy("document", "block").orderBy("page", "item_id")
     heads = pages.groupBy("document", "block").agg(F.min_by("own", F.struct("page", "item_id")).alias("head"))
     heads = heads.withColumn("after_block", F.lead("head").over(Window.partitionBy("document").orderBy("block"))).drop("head")
@@ -347,17 +347,19 @@ def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages:
     item = ["item_table", "item_id"]
     compact = cut(seen.where("item_id IS NOT NULL").drop("raw", "n").dropDuplicates(item))
     labels = label_pages(compact, edge_symbols(compact, titles), train_pages)
-    found = cut(second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item))
+    first_body = F.element_at(F.filter("rests", lambda r: _is_body(r["line_no"])), 1)
+    some_body = F.exists("rests", lambda r: _is_body(r["line_no"]))
+    found = second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item)
+    found = found.where(F.when(F.col("what") == "top", some_body).otherwise(_is_body(F.col("line_no"))))
+    found = cut(found.select(*item, "what", "line_no", "word", F.when(some_body, first_body).alias("ahead"), F.when(F.col("what") == "top", F.xxhash64("document")).alias("document"), F.when(F.col("what") == "top", F.col("page")).alias("page")))
 
     letters = labels.select(*item, F.posexplode(F.split("states", "")).alias("at", "state")).where("state IN ('p', 'r')")
     fixed = letters.select(*item, (F.col("at") + 1).cast("long").alias("line_no"), F.when(F.col("state") == "r", "running").otherwise("page_number").alias("noise_kind"))
 
-    first_body = F.element_at(F.filter("rests", lambda r: _is_body(r["line_no"])), 1)
-    some_body = F.exists("rests", lambda r: _is_body(r["line_no"]))
-    tops = found.where((F.col("what") == "top") & some_body).withColumn("own", first_body).dropDuplicates(item)
-    ends = found.where((F.col("what") == "broken") & _is_body(F.col("line_no"))).withColumn("here", F.when(some_body, first_body))
-    inside = ends.where("here IS NOT NULL").select(*item, "line_no", "word", F.col("here.word").alias("rest"), F.col("item_table").alias("rest_table"), F.col("item_id").alias("rest_item"), F.col("here.line_no").alias("rest_line"))
-    over = ends.where("here IS NULL").join(_next_openings(tops), item)
+    tops = found.where("what = 'top'").withColumnRenamed("ahead", "own").dropDuplicates(item)
+    ends = found.where("what = 'broken'")
+    inside = ends.where("ahead IS NOT NULL").select(*item, "line_no", "word", F.col("ahead.word").alias("rest"), F.col("item_table").alias("rest_table"), F.col("item_id").alias("rest_item"), F.col("ahead.line_no").alias("rest_line"))
+    over = ends.where("ahead IS NULL").join(_next_openings(tops), item)
     over = over.select(*item, "line_no", "word", F.col("next.w").alias("rest"), F.col("next.t").alias("rest_table"), F.col("next.i").alias("rest_item"), F.col("next.l").alias("rest_line"))
     broken = inside.unionByName(over).where("rest IS NOT NULL")
     joined = F.lower(F.concat("word", "rest"))
@@ -371,8 +373,7 @@ def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages:
 
     # a word at the opening of a line counts on its own only where it isn't the rest of a broken one
     rests = broken.select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no")).distinct()
-    body_words = found.where(F.col("what").isin("word", "first") & _is_body(F.col("line_no")))
-    single = body_words.where("what = 'word'").unionByName(body_words.where("what = 'first'").join(rests, [*item, "line_no"], "left_anti"))
+    single = found.where("what = 'word'").unionByName(found.where("what = 'first'").join(rests, [*item, "line_no"], "left_anti"))
     misread = single.join(broadcast_if_small(wrong), "word").select(*item, "line_no", "word", "reading")
 
     # misread characters in a word in two lines: the line of the part that differs from its reading
