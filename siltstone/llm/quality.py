@@ -156,7 +156,7 @@ def statistics(df: DataFrame, doc_id: str, text: Column, lang: Column, ngram: in
 def with_kind(stats: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     """Add text_kind: prose, list, table or junk, by rules over several statistics at once."""
     c, x = F.col, limits
-    unreadable = (c("n_words") == 0) | (c("broken_share") >= x["broken_share"]) | (c("symbol_ratio") >= 0.5) | (c("single_share") >= 0.6) | (c("mean_word_length") >= 30) & (c("list_share") < x["list_share"])
+    unreadable = (c("n_words") == 0) | (c("broken_share") >= x["broken_share"]) | (c("symbol_ratio") >= 0.6) | (c("single_share") >= 0.6) & (c("table_share") < x["table_share"]) | (c("mean_word_length") >= 30) & (c("list_share") < x["list_share"])
     table, listed = c("table_share") >= x["table_share"], (c("list_share") >= x["list_share"]) | (c("leader_share") >= x["leader_share"])
     repeats = (c("top_ngram_share") >= x["repeated_ngram"]) & (c("n_words") > 20)
     sentences = c("sentence_ends_per_word").between(x["least_sentences"], x["most_sentences"])
