@@ -41,10 +41,10 @@ def frequent_lines(rows: DataFrame, group: str, document: str, text: str, one_ro
 
     ``one_row_a_document`` spares the shuffle that makes documents distinct: then the row's own array of distinct lines does.
     """
-    rows = rows.where(F.col(group).isNotNull() & F.col(text).isNotNull() & F.col(document).isNotNull())
+    rows = rows.where(F.col(group).isNotNull() & F.col(document).isNotNull())  # a document without text counts in its group
     sizes = rows.groupBy(F.col(group).alias("group")).agg(F.count_distinct(document).alias("documents")) if not one_row_a_document else rows.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("documents"))
     sizes = cut(sizes)
-    lines = rows.select(F.col(group).alias("group"), F.xxhash64(document).alias("document"), F.explode(F.array_distinct(F.array_compact(_ids(F.col(text))))).alias("line"))
+    lines = rows.where(F.col(text).isNotNull()).select(F.col(group).alias("group"), F.xxhash64(document).alias("document"), F.explode(F.array_distinct(F.array_compact(_ids(F.col(text))))).alias("line"))
     if not one_row_a_document:
         lines = lines.distinct()
     counts = lines.groupBy("group", "line").agg(F.count("*").alias("support")).where(F.col("support") >= least)

@@ -63,11 +63,11 @@ SELECT '{table}' AS item_table, item AS item_id, CAST(line_no AS BIGINT) AS line
 
 
 SQL = {
-    "p3_found": _marked("documents", "doc_id", "SELECT source AS g, doc_id AS d, doc_id AS item, text AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL")
+    "p3_found": _marked("documents", "doc_id", "SELECT source AS g, doc_id AS d, doc_id AS item, text AS t FROM documents WHERE source IS NOT NULL")
     + " UNION ALL "
     + _marked(
         "canonical_section",
         "section_id",
-        "SELECT DISTINCT c.bundle AS g, document_id AS d, section_id AS item, text AS t FROM canonical_section JOIN (SELECT document_id, min(bundle) AS bundle FROM catalog_document GROUP BY 1) c USING (document_id) WHERE c.bundle IS NOT NULL AND text IS NOT NULL",
+        "SELECT DISTINCT c.bundle AS g, document_id AS d, section_id AS item, text AS t FROM canonical_section JOIN (SELECT document_id, min(bundle) AS bundle FROM catalog_document GROUP BY 1) c USING (document_id) WHERE c.bundle IS NOT NULL",
     ),
 }

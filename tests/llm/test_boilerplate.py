@@ -31,10 +31,10 @@ def rows_of():
 def by_hand(rows, least=5, share=0.03):
     docs, seen = defaultdict(set), defaultdict(set)
     for d, s, t in rows:
-        if s is None or t is None:
+        if s is None:
             continue
         docs[s].add(d)
-        for line in t.split("\n"):
+        for line in (t or "").split("\n"):
             if key(line):
                 seen[s, key(line)].add(d)
     return {(d, n) for d, s, t in rows if s and t is not None for n, line in enumerate(t.split("\n"), 1) if key(line) and len(seen[s, key(line)]) >= max(least, share * len(docs[s]))}
