@@ -35,6 +35,11 @@ VIEWS = {
   CASE l_linenumber % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'subject_period' ELSE 'document' END AS temporal_basis, CASE WHEN l_orderkey % 29 = 0 THEN 'retracted' ELSE 'active' END AS status,
   l_orderkey AS document_id, 0.5 + l_discount AS confidence
   FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate""",
+    "entity": """SELECT 'PERSON' AS entity_type, concat('p', c_custkey) AS entity_id, c_name AS name FROM {customer}
+  UNION ALL SELECT 'ORGANIZATION', concat('o', s_suppkey), s_name FROM {supplier} UNION ALL SELECT 'PROJECT', concat('j', p_partkey), p_name FROM {part}""",
+    "mention": """SELECT DISTINCT concat_ws('-', 'j', l_orderkey, l_partkey) AS mention_id, l_orderkey AS document_id, 'PROJECT' AS entity_type, p_name AS surface FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber = 1
+  UNION ALL SELECT DISTINCT concat_ws('-', 'o', l_orderkey, l_suppkey), l_orderkey, 'ORGANIZATION', CASE WHEN l_suppkey % 4 = 0 THEN concat(s_name, 'x') ELSE upper(s_name) END FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_linenumber = 2
+  UNION ALL SELECT concat_ws('-', 'p', o_orderkey, c_custkey), o_orderkey, 'PERSON', lower(c_name) FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0""",
     "ingest_log": """SELECT event_id AS id, user_id AS document_id, event_type AS status, ts AS event_time, value AS latency_ms, props FROM {events}""",
 }
 

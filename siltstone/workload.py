@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import catalog, claims, general, ingest, retrieval, scalar, streams
+from siltstone.queries import catalog, claims, entities, general, ingest, retrieval, scalar, streams
 
-_MODULES = (general, catalog, claims, retrieval, ingest, scalar, streams)
+_MODULES = (general, catalog, claims, retrieval, ingest, entities, scalar, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
