@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,10 @@ def k08_chunks(t):
 
 @query()
 def k09_section_kinds(t):
-    kind = F.pandas_udf(lambda s: s.map(lambda x: chunking.classify(x) if x else "body"), T.StringType(), F.PandasUDFType.SCALAR)
+    @F.pandas_udf(T.StringType())
+    def kind(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: chunking.classify(x) if x else "body")
+
     return t("canonical_section").select("section_id", kind("text").alias("kind")).distinct()
 
 
