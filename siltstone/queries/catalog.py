@@ -77,20 +77,20 @@ def _relaxed(c: Catalog) -> DataFrame:
 
 
 add("f16_relax_to_dates", _relaxed, "SELECT document_id FROM cat_document WHERE effective_start_date >= TIMESTAMP '1997-01-01' AND effective_start_date < TIMESTAMP '1997-02-01'")
-add("p01_projection", lambda c: c.documents.select(*[f for f in ("document_id", "title", "no_such_field", "bundle") if f in c.documents.columns]), "SELECT document_id, title, bundle FROM cat_document")
+add("proj01_projection", lambda c: c.documents.select(*[f for f in ("document_id", "title", "no_such_field", "bundle") if f in c.documents.columns]), "SELECT document_id, title, bundle FROM cat_document")
 add(
-    "p02_record_defaults",
+    "proj02_record_defaults",
     lambda c: c.documents.select("document_id", F.coalesce(F.date_format("effective_start_date", "yyyy-MM-dd"), F.lit("")).alias("date"), F.coalesce("changed_mark", F.lit(0).cast("long")).alias("changed_mark")),
     "SELECT document_id, coalesce(strftime(effective_start_date, '%Y-%m-%d'), '') AS date, coalesce(changed_mark, 0) AS changed_mark FROM cat_document",
 )
 add(
-    "p03_timeline",
+    "proj03_timeline",
     lambda c: WEB.apply(c).groupBy(F.year("effective_start_date").cast("long").alias("year"), "bundle").agg(F.concat_ws("; ", F.slice(F.sort_array(F.collect_list(F.concat_ws("/", F.col("document_id").cast("string"), F.replace("title", F.lit("|"), F.lit("\\|"))))), 1, 5)).alias("line")),
     f"""SELECT CAST(year(effective_start_date) AS BIGINT) AS year, bundle, array_to_string(list_sort(list(concat_ws('/', CAST(document_id AS VARCHAR), replace(title, '|', '\\|'))))[1:5], '; ') AS line
   FROM cat_document WHERE source_type = 'website' AND {IN_YEAR} GROUP BY 1, 2""",
 )
 add(
-    "p06_date_label",
+    "proj06_date_label",
     lambda c: c.documents.select("document_id", periods.label(F.col("effective_start_date"), F.col("start_precision")).alias("label")),
     "SELECT document_id, left(strftime(effective_start_date, '%Y-%m-%d'), CASE start_precision WHEN 'year' THEN 4 WHEN 'month' THEN 7 ELSE 10 END) AS label FROM cat_document",
 )

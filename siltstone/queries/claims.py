@@ -91,6 +91,6 @@ have AS (SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE docum
 SELECT coalesce(w.predicate, h.predicate) AS predicate, count(*) FILTER (WHERE h.subject_id IS NULL) AS missing, count(*) FILTER (WHERE w.subject_id IS NULL) AS unexpected
 FROM want w FULL JOIN have h ON w.subject_id = h.subject_id AND w.predicate = h.predicate AND w.object_id = h.object_id GROUP BY 1""")
 add("g17_evidence_mix", lambda c: c.groupBy("predicate").agg(F.sort_array(F.collect_set("temporal_basis")).alias("bases"), F.max(F.col("status") == "retracted").alias("any_retracted")), " SELECT predicate, list_sort(list(DISTINCT temporal_basis)) AS bases, bool_or(status = 'retracted') AS any_retracted FROM claim GROUP BY 1")
-add("p09_claim_sentences", lambda c: ops.one_hop(c, some_parts(c), "LED_BY", side="subject", limit=20).select(F.concat(F.col("subject_id").cast("string"), F.lit(" led by "), F.col("object_id").cast("string"), F.concat(F.lit(" from "), F.date_format("valid_from", "yyyy-MM-dd")), F.coalesce(F.concat(F.lit(" to "), F.date_format(periods.inclusive_end(F.col("valid_until")), "yyyy-MM-dd")), F.lit(""))).alias("line")).distinct(), """ SELECT DISTINCT concat(subject_id, ' led by ', object_id, ' from ', strftime(valid_from, '%Y-%m-%d'), coalesce(' to ' || strftime(valid_until - INTERVAL 1 DAY, '%Y-%m-%d'), '')) AS line
+add("proj09_claim_sentences", lambda c: ops.one_hop(c, some_parts(c), "LED_BY", side="subject", limit=20).select(F.concat(F.col("subject_id").cast("string"), F.lit(" led by "), F.col("object_id").cast("string"), F.concat(F.lit(" from "), F.date_format("valid_from", "yyyy-MM-dd")), F.coalesce(F.concat(F.lit(" to "), F.date_format(periods.inclusive_end(F.col("valid_until")), "yyyy-MM-dd")), F.lit(""))).alias("line")).distinct(), """ SELECT DISTINCT concat(subject_id, ' led by ', object_id, ' from ', strftime(valid_from, '%Y-%m-%d'), coalesce(' to ' || strftime(valid_until - INTERVAL 1 DAY, '%Y-%m-%d'), '')) AS line
   FROM (SELECT * FROM claim WHERE status <> 'retracted' AND predicate = 'LED_BY' AND subject_id % 10 = 7 ORDER BY coalesce(valid_until, DATE '9999-12-31') DESC, coalesce(valid_from, DATE '0001-01-01') DESC, claim_id LIMIT 20)""")
 add("d02_inclusive_ends", lambda c: c.select("claim_id", periods.inclusive_end(F.col("valid_until")).alias("last_day"), periods.exclusive_end(F.col("valid_from")).alias("day_after")), " SELECT claim_id, CAST(valid_until - INTERVAL 1 DAY AS DATE) AS last_day, CAST(valid_from + INTERVAL 1 DAY AS DATE) AS day_after FROM claim")

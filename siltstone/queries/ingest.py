@@ -225,7 +225,7 @@ def m06_json_field(t):
 
 
 @query("SELECT field, count(*) AS rows, min(example) AS example FROM (SELECT unnest(json_keys(props)) AS field, props AS example FROM ingest_log) GROUP BY 1", "ingest_log")
-def p12_field_audit(t):
+def proj12_field_audit(t):
     return t("ingest_log").select(F.explode(F.json_object_keys("props")).alias("field"), F.col("props").alias("example")).groupBy("field").agg(F.count("*").alias("rows"), F.min("example").alias("example"))
 
 
