@@ -1,4 +1,4 @@
-"""p3: lines repeated across one source's documents."""
+"""p3: lines repeated across the documents of one source, or the sections of one bundle."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the bundle of their document, null where it has none; copies are not dropped."""
     catalog = spark.read.parquet(f"{sf_dir}/catalog_document.parquet").groupBy("document_id").agg(F.min("bundle").alias("bundle"))
     sections = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "document_id", "text")
-    return sections.join(broadcast_if_small(cut(catalog.where("bundle IS NOT NULL"))), "document_id")
+    return sections.join(broadcast_if_small(cut(catalog.where("bundle IS NOT NULL"))), "document_id", "left")
 
 
 def _by_source(docs: DataFrame) -> DataFrame:
@@ -38,14 +39,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent sequences of lines of each source."""
-    return _by_source(_documents(spark, sf_dir))
+    """Frequent sequences of lines of each source (item_table documents) and each bundle (canonical_section)."""
+    a = _by_source(_documents(spark, sf_dir)).withColumn("item_table", F.lit("documents"))
+    b = _by_bundle(_sections(spark, sf_dir)).withColumn("item_table", F.lit("canonical_section"))
+    return a.unionByName(b)
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents without its source's repeated lines."""
-    docs = _documents(spark, sf_dir)
-    return boilerplate.remove_lines(docs, "source", "text", _by_source(docs)).select("doc_id", "source", "clean_text")
+    """Every text of documents and canonical_section without the repeated lines of its source or bundle."""
+    docs, sections = _documents(spark, sf_dir), _sections(spark, sf_dir)
+    a = boilerplate.remove_lines(docs, "source", "text", _by_source(docs)).select(F.lit("documents").alias("item_table"), F.col("doc_id").alias("item_id"), F.col("source").alias("group"), "clean_text")
+    b = boilerplate.remove_lines(sections.distinct(), "bundle", "text", _by_bundle(sections)).select(F.lit("canonical_section").alias("item_table"), F.col("section_id").alias("item_id"), F.col("bundle").alias("group"), "clean_text")
+    return a.unionByName(b)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_sequences, p3_clean)}

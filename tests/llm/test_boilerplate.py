@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 from siltstone.llm import boilerplate as b
+from siltstone.llm import q_boilerplate
 
 SCHEMA = "doc long, src string, body string, line string, lines string, group string"
 
@@ -79,3 +80,23 @@ def test_empty(spark):
     often = b.frequent_lines(df, "src", "doc", "body")
     assert often.count() == 0 and b.mark_lines(df, "src", "doc", "body", often).count() == 0
     assert b.frequent_sequences(df, "src", "doc", "doc", "body", often).count() == 0 and b.remove_lines(df, "src", "body", often).count() == 0
+
+
+def test_queries_cover_sections(spark, tmp_path):
+    share, own = "Share this page", "own words "
+    docs = [(i, "s", f"{share}\n{own}{chr(97 + i)}") for i in range(6)]
+    sections = [(i, f"d{i}", f"{own}{chr(97 + i)}\n{share} now") for i in range(6)]
+    sections += [sections[0], (6, "d6", f"{share} now"), (7, "d0", None), (8, "unknown", f"{share} now")]
+    catalog = [(f"d{i}", "b" if i < 6 else None) for i in range(7)]
+    for name, rows, schema in (
+        ("documents", docs, "doc_id long, source string, text string"),
+        ("canonical_section", sections, "section_id long, document_id string, text string"),
+        ("catalog_document", catalog + catalog[:2], "document_id string, bundle string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    clean = [tuple(r) for r in q_boilerplate.p3_clean(spark, str(tmp_path)).collect()]
+    want = {("documents", i, "s", f"{own}{chr(97 + i)}") for i in range(6)} | {("canonical_section", i, "b", f"{own}{chr(97 + i)}") for i in range(6)}
+    want |= {("canonical_section", 6, None, f"{share} now"), ("canonical_section", 7, "b", None), ("canonical_section", 8, None, f"{share} now")}
+    assert len(clean) == len(want) and set(clean) == want
+    found = q_boilerplate.p3_sequences(spark, str(tmp_path)).collect()
+    assert {(r.item_table, r.group, r.support) for r in found if r.length == 1} == {("documents", "s", 6), ("canonical_section", "b", 6)}
