@@ -17,6 +17,8 @@ POST_NOMINALS = ("phd", "md", "jr", "sr", "msc", "mba")
 LEGAL_FORMS = {"ltd": "limited", "pvt": "private", "inc": "incorporated", "corp": "corporation", "co": "company", "intl": "international", "univ": "university", "inst": "institute", "dept": "department", "govt": "government"}
 # Words that carry no topic.
 STOP_WORDS = tuple("a an and are as at be by do does for from has have how in is it its of on or that the their there these they this to was were what when where which who why will with".split())
+# Fixed value: characters of a stored facet value.
+FACET_WIDTH = 255
 
 
 def collapse(c: Column) -> Column:
@@ -106,6 +108,11 @@ def key_terms(c: Column) -> Column:
     return F.filter(found, lambda t: ~F.exists(found, lambda o: (o != t) & F.startswith(o, F.concat(t, F.lit(" ")))))
 
 
+def stored_values(values: Column, width: int = FACET_WIDTH) -> Column:
+    """Distinct values as they are stored, in order: empty ones dropped, cut to ``width`` first, made distinct second."""
+    return F.array_distinct(F.transform(F.filter(values, lambda x: x != ""), lambda x: F.substring(x, 1, width)))
+
+
 def editions(c: Column) -> Column:
     """Fiscal editions like 2024-25 (end is start + 1), in canonical form and order of appearance."""
     years = F.regexp_extract_all(c, F.lit(r"\b(20[0-3][0-9])\s*[-–/]\s*(?:20)?([0-9]{2})\b"), 0)
