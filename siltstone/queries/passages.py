@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.functions import text
-from siltstone.operators import chunking
+from siltstone.operators import chunking, running
 from siltstone.sources.views import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,16 @@ def x17_running_lines(t):
     return keyed.groupBy("document_id", "line_key").agg(F.count("*").alias("pages")).join(sizes, "document_id").where("pages >= 0.5 * n").select("document_id", "line_key", "pages")
 
 
+@query()
+def x17_running_keys(t):
+    return running.running_keys(t("page_content"))
+
+
+@query()
+def x17_clean_pages(t):
+    return running.clean_pages(t("page_content"), running.running_keys(t("page_content")))
+
+
 @query(r"""WITH s AS (SELECT doc_id, list_filter(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^.!?]+[.!?]+'), lambda x: length(x) > 0) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) AS cited, len(s) AS sentences FROM s""")
 def x18_numbered_sentences(t):
     s = F.regexp_extract_all(text.collapse(F.col("text")), F.lit(r"[^.!?]+[.!?]+"), 0)
