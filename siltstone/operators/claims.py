@@ -78,7 +78,7 @@ def recency(claims: DataFrame) -> list[Column]:
 
 
 def one_hop(claims: DataFrame, entities: DataFrame, predicate: str | None = None, lo: date | None = None, hi: date | None = None, side: str = "either", limit: int | None = None) -> DataFrame:
-    """Claims that touch the given entities (entity_id) on a side, in a window, each once."""
+    """Claims that touch the given entities (entity_id) on a side, in a window, each once; ``limit`` holds for all together."""
     live = claims.where(F.col("status") != "retracted").where(periods.history_overlap(F.col("valid_from"), F.col("valid_until"), lo, hi))
     live = live.where(F.col("predicate") == predicate) if predicate else live
     sides = {"subject": ["subject_id"], "object": ["object_id"], "either": ["subject_id", "object_id"]}[side]
@@ -90,6 +90,12 @@ def one_hop(claims: DataFrame, entities: DataFrame, predicate: str | None = None
     return found.orderBy(*recency(found)).limit(limit) if limit else found
 
 
+def one_hop_each(claims: DataFrame, entities: DataFrame, predicate: str, limit: int) -> DataFrame:
+    """The latest ``limit`` claims of each given entity as subject: the answer of one entity, for all of them."""
+    found = one_hop(claims, entities, predicate, side="subject")
+    return found.withColumn("__rn", F.row_number().over(Window.partitionBy("subject_id").orderBy(*recency(found)))).where(F.col("__rn") <= limit).drop("__rn")
+
+
 def two_hop(claims: DataFrame, start: DataFrame, first: str, second: str, lo: date | None = None, hi: date | None = None) -> DataFrame:
     """(start_id, via_id, end_id, first_claim, second_claim): two different claims through a shared entity, no way back."""
     live = claims.where(F.col("status") != "retracted").where(periods.history_overlap(F.col("valid_from"), F.col("valid_until"), lo, hi))
