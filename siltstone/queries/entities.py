@@ -53,6 +53,15 @@ def j17_candidates(t):
     return ops.candidates(t("mention"), t("entity"))
 
 
+@query()
+def j17_generated(t):
+    """Aliases are the spellings of a seeded entity; the tables have no project codes, so the ids of projects stand for them."""
+    e = t("entity")
+    seeded = ops.seed(e).select("entity_type", "normalized", "entity_id")
+    aliases = e.select("entity_type", "name", text.fold_name(F.col("name")).alias("normalized")).distinct().join(seeded, ["entity_type", "normalized"])
+    return ops.generated(t("mention"), e, aliases, e.where("entity_type = 'PROJECT'").select(F.col("entity_id").alias("value"), "entity_id"))
+
+
 _SCORES = _CANDIDATES + """, company AS (SELECT document_id, entity_type, count(DISTINCT mention_id) AS company FROM c GROUP BY 1, 2),
 s AS (SELECT c.*, count(*) OVER (PARTITION BY mention_id) AS n, company FROM c JOIN company USING (document_id, entity_type)),
 z AS (SELECT *, round(least(1.0, CASE source WHEN 'name' THEN 0.6 ELSE 0.42 END + CASE WHEN n = 1 THEN 0.25 ELSE 0 END + CASE WHEN company > 1 THEN 0.15 ELSE 0 END), 6) AS score FROM s)"""
