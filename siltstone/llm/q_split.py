@@ -29,8 +29,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every text, with its text."""
-    return _sections(spark, sf_dir, split.pieces).unionByName(_points(spark, sf_dir, split.pieces))
+    """Every piece of every text, with its text and the heading of its section; null for points."""
+    headings = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select(F.col("section_id").alias("item_id"), "heading").distinct()
+    sections = _sections(spark, sf_dir, split.pieces).join(headings, "item_id", "left")
+    return sections.unionByName(_points(spark, sf_dir, split.pieces).withColumn("heading", F.lit(None).cast("string")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}

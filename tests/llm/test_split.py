@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import split
+from siltstone.llm import q_split, split
 
 WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -75,3 +75,12 @@ def test_random_texts(spark, texts):
     got = cut(spark, texts, limit=12, overlap=3)
     for i, t in enumerate(texts):
         check(got[i], t, 12, 3)
+
+
+def test_pieces_carry_the_heading(spark, tmp_path):
+    sections = [(1, "Tides", "word " * 600), (2, None, "short"), (1, "Tides", "word " * 600)]
+    spark.createDataFrame(sections, "section_id long, heading string, text string").write.parquet(f"{tmp_path}/canonical_section.parquet")
+    points = [(1, (False, "a point"))]
+    spark.createDataFrame(points, "chunk_id long, payload struct<is_parent: boolean, chunk_text: string>").write.parquet(f"{tmp_path}/qdrant_point.parquet")
+    got = sorted((r.item_table, r.item_id, r.piece_no, r.heading or "") for r in q_split.p2_pieces(spark, str(tmp_path)).collect())
+    assert got == [("canonical_section", 1, 1, "Tides"), ("canonical_section", 1, 2, "Tides"), ("canonical_section", 2, 1, ""), ("qdrant_point", 1, 1, "")]
