@@ -6,33 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import split
+from siltstone.plans.materialise import without_copies
 
 LIMIT, PARENT_LIMIT, OVERLAP = 512, 2400, 60
 
 
-def _sections(spark: SparkSession, sf_dir: str, run) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "text").distinct()
-    return run(rows, "section_id", F.col("text"), LIMIT, [LIMIT], OVERLAP).withColumn("item_table", F.lit("canonical_section"))
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "heading", "text")
 
 
-def _points(spark: SparkSession, sf_dir: str, run) -> DataFrame:
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/qdrant_point.parquet")
     limit = F.when(F.col("payload.is_parent"), PARENT_LIMIT).otherwise(LIMIT)
-    rows = rows.select("chunk_id", F.col("payload.chunk_text").alias("text"), limit.alias("words")).distinct()
-    return run(rows, "chunk_id", F.col("text"), F.col("words"), [LIMIT, PARENT_LIMIT], OVERLAP).withColumn("item_table", F.lit("qdrant_point"))
+    return rows.select("chunk_id", F.lit(None).cast("string").alias("heading"), F.col("payload.chunk_text").alias("text"), limit.alias("words"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts over their limit: those the operator cuts."""
-    found = _sections(spark, sf_dir, split.oversized).unionByName(_points(spark, sf_dir, split.oversized))
-    return found.select("item_table", "item_id")
+    a = split.oversized(_sections(spark, sf_dir), "section_id", F.col("text"), LIMIT, [LIMIT], OVERLAP)
+    b = split.oversized(_points(spark, sf_dir), "chunk_id", F.col("text"), F.col("words"), [LIMIT, PARENT_LIMIT], OVERLAP)
+    return a.select(F.lit("canonical_section").alias("item_table"), "item_id").unionByName(b.select(F.lit("qdrant_point").alias("item_table"), "item_id"))
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every text, with its text and the heading of its section; null for points."""
-    headings = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select(F.col("section_id").alias("item_id"), "heading").distinct()
-    sections = _sections(spark, sf_dir, split.pieces).join(headings, "item_id", "left")
-    return sections.unionByName(_points(spark, sf_dir, split.pieces).withColumn("heading", F.lit(None).cast("string")))
+    """Every piece of every text, with its text and the heading of its section; null for points. Copies of a row count once."""
+    a = split.pieces(without_copies(_sections(spark, sf_dir), "section_id"), "section_id", F.col("text"), LIMIT, [LIMIT], OVERLAP, keep=("heading",))
+    b = split.pieces(without_copies(_points(spark, sf_dir), "chunk_id"), "chunk_id", F.col("text"), F.col("words"), [LIMIT, PARENT_LIMIT], OVERLAP, keep=("heading",))
+    return a.withColumn("item_table", F.lit("canonical_section")).unionByName(b.withColumn("item_table", F.lit("qdrant_point")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}

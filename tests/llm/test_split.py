@@ -40,7 +40,7 @@ def check(pieces, text, limit, overlap):
 
 def test_cases(spark):
     para = "one two three four five six seven eight nine ten.\n\n"
-    texts = ["", "   ", "short text", para * 8, "word " * 100, "\n".join(["a b c d"] * 30), " lead " + "x " * 40, "w　" * 30, "a​b " * 30, "x " * 20, "x " * 21, "long" * 3000]
+    texts = ["", "   ", "short text", para * 8, "word " * 100, "\n".join(["a b c d"] * 30), " lead " + "x " * 40, "w　" * 30, "a​b " * 30, "x " * 20, "x " * 21, "long" * 1000]
     got = cut(spark, [*texts, None])
     assert len(texts) not in got
     for i, t in enumerate(texts):
@@ -57,10 +57,26 @@ def test_prefers_strong_boundaries(spark):
 
 def test_overlong_words_are_cut_by_characters(spark):
     pieces = cut(spark, ["y" * 1000 + " z" * 25], limit=20, overlap=5, longest_word=100)[0]
-    assert "".join(p.piece_text[-0 or None :] for p in pieces[:1]).startswith("y" * 100)
+    assert pieces[0].piece_text == "y" * 1000 + " " + "z " * 5
     assert all(p.piece_words <= 20 for p in pieces)
 
 
+def test_one_word_of_a_hundred_thousand_characters(spark):
+    long = "é" * 100_000
+    pieces = cut(spark, [long], limit=20, overlap=5, longest_word=100)[0]
+    assert len(pieces) == 67 and all(len(p.piece_text) <= 2000 and p.n_words == 1 for p in pieces)
+    assert "".join([pieces[0].piece_text] + [p.piece_text[500:] for p in pieces[1:]]) == long
+    df = spark.createDataFrame([(1, long), (2, "w " * 21), (3, "w " * 20)], "id long, body string")
+    assert [r[0] for r in split.oversized(df, "id", F.col("body"), 20, [20], 5).collect()] == [2]  # over in words, not in characters
+
+
+def test_word_counts(spark):
+    texts = ["", " ", "a", " a", "a ", " a b ", "a\u3000b\u00a0c\n\n", "\u200bx y\u2028", "\x1c a"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = [r[0] for r in df.select(split.word_count(F.col("t"))).collect()]
+    assert got == [len(WORD.findall(t)) for t in texts] + [None]
+
+
 def test_copies_empty_and_bad_limits(spark):
     assert cut(spark, []) == {}
     df = spark.createDataFrame([(1, "a " * 50)] * 2, "id long, body string")
