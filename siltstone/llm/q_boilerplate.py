@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import boilerplate
-from siltstone.plans.materialise import broadcast_if_small, cut
+from siltstone.plans.materialise import broadcast_if_small, cut, without_copies
+
+
+BY = ("item_table", "group")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,43 +17,49 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections with the bundle of their document, null where it has none; copies are not dropped."""
+    return spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "document_id", "text")
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, bundle), without documents of no bundle."""
     catalog = spark.read.parquet(f"{sf_dir}/catalog_document.parquet").groupBy("document_id").agg(F.min("bundle").alias("bundle"))
-    sections = spark.read.parquet(f"{sf_dir}/canonical_section.parquet").select("section_id", "document_id", "text")
-    return sections.join(broadcast_if_small(cut(catalog.where("bundle IS NOT NULL"))), "document_id", "left")
+    return broadcast_if_small(cut(catalog.where("bundle IS NOT NULL")))
 
 
-def _by_source(docs: DataFrame) -> DataFrame:
-    lines = boilerplate.frequent_lines(docs, "source", "doc_id", "text", one_row_a_document=True)
-    return boilerplate.frequent_sequences(docs, "source", "doc_id", "doc_id", "text", lines)
+def _identified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Arrays of line identifiers of documents by source and of sections by bundle; each text is read once."""
+    ids = boilerplate.line_ids(F.col("text"))
+    docs = _documents(spark, sf_dir).withColumn("item_table", F.lit("documents"))
+    docs = cut(boilerplate.identified(docs, "source", "doc_id", "doc_id", ids, keep=("item_table",)))
+    sections = cut(_sections(spark, sf_dir).where("document_id IS NOT NULL").select("section_id", "document_id", ids.alias("ids")))
+    sections = sections.join(_bundles(spark, sf_dir), "document_id").withColumn("item_table", F.lit("canonical_section"))
+    return docs, cut(boilerplate.identified(sections, "bundle", "document_id", "section_id", F.col("ids"), keep=("item_table",)))
 
 
-def _by_bundle(sections: DataFrame) -> DataFrame:
-    lines = boilerplate.frequent_lines(sections, "bundle", "document_id", "text")
-    return boilerplate.frequent_sequences(sections, "bundle", "document_id", "section_id", "text", lines)
+def _mined(spark: SparkSession, sf_dir: str) -> boilerplate.Sequences:
+    docs, sections = _identified(spark, sf_dir)
+    lines = boilerplate.frequent_lines(docs, BY, one_row_a_document=True).unionByName(boilerplate.frequent_lines(sections, BY))
+    return boilerplate.Sequences(docs.unionByName(sections), lines, BY)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line that stands in enough documents of its source or bundle."""
-    docs, sections = _documents(spark, sf_dir), _sections(spark, sf_dir)
-    a = boilerplate.mark_lines(docs, "source", "doc_id", "text", _by_source(docs)).withColumn("item_table", F.lit("documents"))
-    b = boilerplate.mark_lines(sections, "bundle", "section_id", "text", _by_bundle(sections)).withColumn("item_table", F.lit("canonical_section"))
-    return a.select("item_table", "item_id", "line_no").unionByName(b.select("item_table", "item_id", "line_no").distinct())
+    """Each line that lies in an occurrence of a frequent sequence of its source or bundle, single lines included."""
+    return _mined(spark, sf_dir).marks().select("item_table", "item_id", "line_no").distinct()
 
 
 def p3_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent sequences of lines of each source (item_table documents) and each bundle (canonical_section)."""
-    a = _by_source(_documents(spark, sf_dir)).withColumn("item_table", F.lit("documents"))
-    b = _by_bundle(_sections(spark, sf_dir)).withColumn("item_table", F.lit("canonical_section"))
-    return a.unionByName(b)
+    """Longest frequent sequences of lines of each source (item_table documents) and each bundle (canonical_section)."""
+    return _mined(spark, sf_dir).sequences()
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents and canonical_section without the repeated lines of its source or bundle."""
-    docs, sections = _documents(spark, sf_dir), _sections(spark, sf_dir)
-    a = boilerplate.remove_lines(docs, "source", "text", _by_source(docs)).select(F.lit("documents").alias("item_table"), F.col("doc_id").alias("item_id"), F.col("source").alias("group"), "clean_text")
-    b = boilerplate.remove_lines(sections.distinct(), "bundle", "text", _by_bundle(sections)).select(F.lit("canonical_section").alias("item_table"), F.col("section_id").alias("item_id"), F.col("bundle").alias("group"), "clean_text")
-    return a.unionByName(b)
+    docs, sections = _identified(spark, sf_dir)
+    a = boilerplate.remove_lines(_documents(spark, sf_dir), "source", "text", boilerplate.frequent_lines(docs, BY, one_row_a_document=True))
+    whole = without_copies(_sections(spark, sf_dir), "section_id").join(_bundles(spark, sf_dir), "document_id", "left")
+    b = boilerplate.remove_lines(whole, "bundle", "text", boilerplate.frequent_lines(sections, BY))
+    a = a.select(F.lit("documents").alias("item_table"), F.col("doc_id").alias("item_id"), F.col("source").alias("group"), "clean_text")
+    return a.unionByName(b.select(F.lit("canonical_section").alias("item_table"), F.col("section_id").alias("item_id"), F.col("bundle").alias("group"), "clean_text"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_sequences, p3_clean)}
