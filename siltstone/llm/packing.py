@@ -128,7 +128,13 @@ def pack(lengths: DataFrame, item_id: str, tokens: str, capacity: int = CAPACITY
     salted = large.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
     run_up = Window.partitionBy("shard").orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
     totals = salted.groupBy("shard").agg(F.sum("full").alias("n"))
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    # shards add up in rows of about the root of their number, and the rows in turn, so that no task sees all shards
+    width = max(1, int(shards**0.5))
+    totals = totals.withColumn("row", F.floor(F.col("shard") / width))
+    rows = totals.groupBy("row").agg(F.sum("n").alias("n"))
+    first = rows.select("row", F.coalesce(F.sum("n").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("row").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("up", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(first, "row").select("shard", (F.col("base") + F.col("up")).alias("offset"))
     numbered = salted.withColumn("up", F.coalesce(F.sum("full").over(run_up), F.lit(0))).join(starts, "shard")
     fulls = numbered.select("item_id", (F.col("offset") + F.col("up") + used).alias("start"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))).alias("piece_no"))
     fulls = fulls.select((F.col("start") + F.col("piece_no") - 1).alias("container_id"), "item_id", "piece_no", ((F.col("piece_no") - 1) * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("bucket"))

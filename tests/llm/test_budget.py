@@ -75,28 +75,40 @@ def test_packing_edges(spark):
     assert len(filled) == 100 and {r.t for r in filled} == {100}
 
 
-def mixture(spark, texts, targets):
+def mixture(spark, texts, targets, total=None):
     counted = spark.createDataFrame(texts, "source string, doc_id long, text_key string, n_tokens long")
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    one, rates = mixing.prepared(counted, t)
+    one, rates = mixing.prepared(counted, t, total)
     mixed = mixing.mix(one, rates)
     return mixed.collect(), {r.source: r for r in mixing.report(rates, mixed).collect()}
 
 
 def test_mixing_meets_shares_and_caps(spark):
     texts = [("big", i, f"b{i}", 10) for i in range(6000)] + [("small", 10_000 + i, f"s{i}", 10) for i in range(300)] + [("mid", 20_000 + i, f"m{i}", 10) for i in range(1500)]
-    rows, report = mixture(spark, texts, [("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.2, 2), ("gone", 0.1, 2)])
+    targets = [("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.2, 2), ("gone", 0.1, 2)]
+    rows, report = mixture(spark, texts, targets, 40_500)
+    assert report["big"].reach_tokens == pytest.approx(40_500)
     assert max(r.copy_no for r in rows if r.source == "small") == 3 and report["gone"].actual_share == 0
     for s, share in (("big", 5 / 9), ("small", 2 / 9), ("mid", 2 / 9)):
         assert abs(report[s].actual_share - share) < 0.03
     keys = [(r.doc_id, r.copy_no) for r in rows]
     assert len(keys) == len(set(keys))
-    again, _ = mixture(spark, texts, [("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.2, 2), ("gone", 0.1, 2)])
+    again, _ = mixture(spark, texts, targets, 40_500)
     assert sorted(keys) == sorted((r.doc_id, r.copy_no) for r in again)
 
 
+def test_mixing_reports_what_caps_leave_out(spark):
+    texts = [("big", i, f"b{i}", 10) for i in range(6000)] + [("small", 10_000 + i, f"s{i}", 10) for i in range(300)] + [("mid", 20_000 + i, f"m{i}", 10) for i in range(1500)]
+    rows, report = mixture(spark, texts, [("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.3, 2)])  # of all 78,000 tokens
+    assert report["small"].wanted_tokens == pytest.approx(15_600) and report["small"].mixed_tokens == 9000 and report["small"].most_copies == 3
+    assert abs(report["big"].mixed_tokens - 39_000) < 1500 and abs(report["mid"].mixed_tokens - 23_400) < 1500
+    assert report["small"].actual_share < 0.14 and sum(r.actual_share for r in report.values()) == pytest.approx(1)
+    above, far = mixture(spark, texts, [("big", 0.5, 1), ("small", 0.2, 3), ("mid", 0.3, 2)], 10_000_000)
+    assert len(above) == 6000 + 900 + 3000 and {r.most_copies for r in far.values()} == {1, 2, 3}
+
+
 def test_mixing_counts_equal_texts_once(spark):
     texts = [("a", i, "same", 10) for i in range(50)] + [("a", 99, "other", 10), (None, 5, "x", 10), ("no target", 6, "y", 10), ("a", 7, "blank", 0)]
-    rows, _ = mixture(spark, texts, [("a", 1.0, 2)])
+    rows, _ = mixture(spark, texts, [("a", 1.0, 2)], 40)
     assert sorted((r.doc_id, r.copy_no) for r in rows) == [(0, 1), (0, 2), (99, 1), (99, 2)]
     assert mixture(spark, [], [("a", 1.0, 2)])[0] == []

@@ -51,11 +51,40 @@ def test_empty(spark):
     assert kinds(spark, []) == {}
 
 
-def test_labelled_documents(spark, sf_dir):
-    """On the labelled sample prose is told from the rest nearly without fault."""
+def test_trailing_blanks_and_closing_signs():
+    at = quality.NAMES.index("punctuated_line_share") + 2
+    for text, want in (("One sentence." + " " * 10 + "\nTwo more." + "\t" * 9, 1.0), ('He said "stop.")\nno end "', 0.5), ("]]]\n.", 0.5), ("a;)\n'", 0.5)):
+        assert quality.statistics_of(text, "en")[at] == want, text
+
+
+def test_repetition_decides(spark):
+    verse = "The board met in May and agreed to measure the outflow of the river."
+    rows = [(1, "\n".join([verse] * 8 + [PROSE] * 4), "en"), (2, "\n\n".join([PROSE, PROSE, PROSE]), "en"), (3, PROSE * 3, "en")]
+    got = kinds(spark, rows)
+    assert got[1].duplicate_line_share > 0.5 and got[2].duplicate_paragraph_share > 0.5
+    assert {i: r.text_kind for i, r in got.items()} == {1: "junk", 2: "junk", 3: "prose"}
+
+
+def test_copies_and_ids_of_several_texts(spark):
+    df = spark.createDataFrame([(1, PROSE, "en"), (1, PROSE, "en"), (1, "x", "en")], "doc_id long, text string, lang string")
+    assert sorted(r.n_words for r in quality.statistics(df, "doc_id", F.col("text"), F.col("lang")).collect()) == [1, len(PROSE.split())]
+
+
+def _labelled(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.01")
-    labels = spark.read.parquet(f"{folder}/text_label.parquet").select("doc_id", F.col("text_kind").alias("truth")).distinct()
-    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id")
-    got = quality.with_kind(quality.statistics(docs, "doc_id", F.col("text"), F.col("lang"))).join(labels, "doc_id").collect()
-    right = sum((r.text_kind == "prose") == (r.truth == "prose") for r in got)
-    assert len(got) > 100 and right / len(got) > 0.98
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stats = quality.statistics(docs, "doc_id", F.col("text"), F.col("lang"))
+    return stats, *quality.labelled_sample(stats, spark.read.parquet(f"{folder}/text_label.parquet"))
+
+
+def test_fitted_limits_on_held_out_labels(spark, sf_dir):
+    """Fitted on half of the labels from a spoilt prior, the rules tell the other half; a prior without errors stays."""
+    stats, rows, truth = _labelled(spark, sf_dir)
+    assert len(rows) > 100 and (quality.kinds_of(rows, quality.LIMITS) == [r.text_kind for r in quality.with_kind(spark.createDataFrame(rows)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]).all()
+    half = rows["doc_id"].to_numpy() % 2 == 0
+    prose = lambda limits, at: ((quality.kinds_of(rows[at], limits) == "prose") == (truth[at] == "prose")).mean()
+    assert prose(quality.fit_limits(rows[half], truth[half]), ~half) > 0.97
+    spoilt = quality.LIMITS | {"digit_share": 0.055, "most_sentences": 0.055}
+    fitted = quality.fit_limits(rows[half], truth[half], spoilt)
+    assert prose(fitted, ~half) >= prose(spoilt, ~half) and prose(fitted, half) > 0.97
+    assert quality.fit_limits(rows[:0], truth[:0]) == quality.LIMITS
