@@ -37,9 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _checkpoint_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files of a frame that is a checkpoint as it stands, read from the file system without a job."""
+    """Bytes of the files of a frame that is a checkpoint, or columns and rows of one, read from the file system without a job."""
     plan = df._jdf.queryExecution().analyzed()
-    if not plan.getClass().getSimpleName() == "LogicalRDD":
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
         return None
     file = plan.rdd().getCheckpointFile()
     if file.isEmpty():
