@@ -3,9 +3,10 @@
 1. Vocabulary. All words of all pages are counted. Words that a scanner may take for each other (fixed confusions such as
    rn/m, cl/d, 0/o, c/e) fold to one form; the commonest word of a form is its reading, much rarer others are misreadings.
 2. Layout. The outermost lines of each page are compared inside their document: does the same folded line stand on other
-   pages, does a number count up with the pages. That gives each line of a page one symbol.
+   pages, does a number count up with the pages. Where all lines looked at mark a header or footer, the lines further in are
+   looked at too, twice as many each time, until one at each end recurs nowhere. Each line of a page gets one symbol.
 3. Labels. A hidden Markov model over the symbols of a page's lines (states break, number, running, body) is fitted by
-   Viterbi training on at most ``TRAIN_PAGES`` pages, taken by hash, and decodes every page.
+   Viterbi training on all pages, each distinct sequence of symbols once with its number of pages, and decodes every page.
 4. Words. In body lines, words that are misreadings are marked; a word broken at a line's end is joined with the opening of
    the document's next body line, on the next page if need be, and the vocabulary tells whether its hyphen is its own.
 
@@ -24,13 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.plans.materialise import broadcast_if_small, cut
 
-TRAIN_PAGES = 2000
+#: lines looked at from each end of a page at first
+DEPTH = 2
+#: all pages together weigh as much as so many against the prior of the model, at every size of the input
+TRAIN_WEIGHT = 2000
+TRAIN_ROUNDS = 4
 #: commonest readings shipped to the decoding tasks; words outside are looked up by join, so the number changes no result
 KNOWN_WORDS = 20_000
 #: a misreading is at most this share of its reading's count (stricter where all its characters are plain letters)
@@ -83,18 +89,33 @@ def letters_only(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"[-'’.]", "")
 
 
+class _Folded(dict):
+    """Translation table of ``fold``: what scanning confuses made equal, all but letters dropped; filled as characters come."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code).translate(_TABLE)
+        self[code] = ord(c) if c.isalpha() else None
+        return self[code]
+
+
+_TABLE = str.maketrans(SINGLE_FROM, SINGLE_TO)
+_FOLDED = _Folded()
+
+
 def _fold(text: str) -> str:
     """``fold`` of one string."""
-    out = "".join(c for c in text.lower().translate(_TABLE) if c.isalpha())
+    out = text.lower().translate(_FOLDED)
     for a, b in GROUPS:
         out = out.replace(a, b)
     return out
 
 
-_TABLE = str.maketrans(SINGLE_FROM, SINGLE_TO)
 _ROMAN = re.compile(r"(?i)(?:x{0,3})(?:l?)(?:x{0,3})(?:ix|iv|v?i{0,3})$")
-_EDGE = "line_no: long, shaped: boolean, number: int, roman: boolean, decorated: boolean, key: string, ruled: boolean, repeats: boolean"
-_FIRST = f"item_table string, item_id long, document string, page int, pattern string, edges array<struct<{_EDGE}>>, raw string, n long"
+_SEEN = (
+    "what string, item_table string, item_id long, document string, page int, pattern string, line_no long, from_top int, from_bottom int, number int, roman boolean, decorated boolean, "
+    "key string, ruled boolean, repeats boolean, word string, n long"
+)
+_DIGITS = frozenset("0123456789lLiIoO")
 
 
 def _number(text: str) -> tuple[int | None, bool]:
@@ -108,52 +129,81 @@ def _number(text: str) -> tuple[int | None, bool]:
 
 
 def _edge(line: str) -> tuple:
-    """(shaped, number, roman, decorated, key, ruled) of an outermost line."""
+    """(number, roman, decorated, key, ruled) of an outermost line."""
     found = NUMBER_LINE.match(line)
     if found:
-        return (True, *_number(found[1]), bool(DECORATED.search(line)), None, False)
-    key = _fold(_LEADING.sub("", _TRAILING.sub("", line)))
-    return False, None, False, False, key if len(key) >= 4 else None, bool(_RULED.search(line))
+        return (*_number(found[1]), bool(DECORATED.search(line)), None, False)
+    bare = line.strip()
+    if bare[-1] in _DIGITS:
+        bare = _TRAILING.sub("", bare)
+    if bare[:1] in _DIGITS:
+        bare = _LEADING.sub("", bare)
+    key = _fold(bare)
+    return None, False, False, key if len(key) >= 4 else None, bool(_RULED.search(line))
 
 
 _TRAILING, _LEADING, _RULED = re.compile(TRAILING_NUMBER, re.I), re.compile(LEADING_NUMBER, re.I), re.compile(r"\s[|·•]\s")
 
 
-def first_pass(pages: DataFrame) -> DataFrame:
-    """One reading of all texts: a row for each page (a letter for each line, and its outermost lines) and, with null item_id,
-    rows of raw words and their counts in a batch."""
-    names = ["item_table", "item_id", "document", "page", "pattern", "edges", "raw", "n"]
+def _arrow(schema: str, rows: dict[str, list], what: str) -> pa.RecordBatch:
+    """Rows of one sort as an Arrow batch of ``schema``; columns not given are null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    size = len(next(iter(rows.values())))
+    rows = rows | {"what": [what] * size}
+    return pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[k]) if n in rows else pa.nulls(size, kinds[k]) for n, k in fields], [n for n, _ in fields])
+
+
+def _columns(names: tuple[str, ...], rows: list[tuple]) -> dict[str, list]:
+    return dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PAGE = ("item_table", "item_id", "document", "page")
+
+
+def first_pass(pages: DataFrame, depth: int = DEPTH, beyond: int = 0) -> DataFrame:
+    """One reading of all texts: rows 'page' (a letter for each line), 'edge' (each of the outermost lines, from ``beyond`` to
+    ``depth`` from either end) and 'word' (raw words and their counts in a batch). Only edges with ``beyond``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
-            rows: list[tuple] = []
-            for table, item, document, page, text in zip(*(batch[c] for c in ("item_table", "item_id", "document", "page", "text"))):
-                counts.update(text.lower().split())
+            known: dict[str, tuple] = {}
+            edges, patterns = [], []
+            of_pages = list(zip(*(batch.column(c).to_pylist() for c in _PAGE)))
+            for page, text in zip(of_pages, batch.column("text").to_pylist()):
                 lines = _page_lines(text)
                 full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-                pattern = ["b"] * len(lines)
-                for i in full:
-                    pattern[i] = "t"
-                edges, keys = [], set()
-                for i in sorted({*full[:2], *full[-2:]}):
-                    edge = _edge(lines[i])
-                    edges.append((i + 1, *edge, edge[4] in keys))
-                    keys.add(edge[4])
-                rows.append((table, item, document, page, "".join(pattern), edges, None, None))
-            rows += [(None, None, None, None, None, None, w, n) for w, n in counts.items()]
-            yield pd.DataFrame(rows, columns=names).astype({"item_id": "Int64", "page": "Int32", "n": "Int64"})
-
-    return pages.select("item_table", "item_id", "document", "page", "text").mapInPandas(read, _FIRST)
+                if not beyond:
+                    counts.update(text.lower().split())
+                    pattern = ["b"] * len(lines)
+                    for i in full:
+                        pattern[i] = "t"
+                    patterns.append("".join(pattern))
+                n, keys = len(full), set()
+                for k in range(n) if n <= 2 * depth else (*range(depth), *range(n - depth, n)):
+                    line = lines[full[k]]
+                    edge = known.get(line)
+                    if edge is None:
+                        edge = known[line] = _edge(line)
+                    if min(k, n - 1 - k) >= beyond:
+                        edges.append((*page, full[k] + 1, k + 1, n - k, *edge, edge[3] in keys))
+                    keys.add(edge[3])
+            yield _arrow(_SEEN, _columns((*_PAGE, "line_no", "from_top", "from_bottom", "number", "roman", "decorated", "key", "ruled", "repeats"), edges), "edge")
+            if not beyond:
+                yield _arrow(_SEEN, _columns(_PAGE, of_pages) | {"pattern": patterns}, "page")
+                yield _arrow(_SEEN, {"word": list(counts), "n": list(counts.values())}, "word")
+
+    return pages.select(*_PAGE, "text").mapInArrow(read, _SEEN)
 
 
 def vocabulary(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, n, fold) of all words, and (fold, reading, n_reading): the commonest word of each folded form."""
-    raw = seen.where("raw IS NOT NULL").groupBy("raw").agg(F.sum("n").alias("n"))
+    """(word, n, fold) of all words, and (fold, reading, n_reading): the commonest word of each folded form, if seen twice."""
+    raw = seen.where("what = 'word'").groupBy(F.col("word").alias("raw")).agg(F.sum("n").alias("n"))
     words = raw.select("n", F.explode(F.regexp_extract_all("raw", F.lit(WORD), 0)).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
     words = words.where(F.col("word").rlike(r"\p{L}"))
     words = cut(words.withColumn("fold", fold(F.col("word"))).where("fold <> ''"))
-    readings = words.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("reading"), F.col("m.n").alias("n_reading"))
+    readings = words.where("n >= 2").groupBy("fold").agg(F.max(F.struct("n", "word")).alias("m")).select("fold", F.col("m.word").alias("reading"), F.col("m.n").alias("n_reading"))
     return words, cut(readings)
 
 
@@ -167,43 +217,86 @@ def misreadings(words: DataFrame, readings: DataFrame) -> DataFrame:
     return both.where(plain_reading & (letters_only(F.col("word")) != letters_only(F.col("reading")))).select("word", "reading")
 
 
-def edge_symbols(pages: DataFrame, titles: DataFrame | None) -> DataFrame:
-    """(table, item, marks): line_no and symbol of the outermost lines that are more than text. ``titles``: document, title.
+def edge_symbols(edges: DataFrame, lengths: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """(item_table, item_id, document, line_no, from_top, from_bottom, symbol) of the outermost lines that are more than text.
 
-    Counts of a document are looked up from small sides: keys and numbers that recur, and titles.
+    ``lengths``: document, pages; ``titles``: document, title; documents are hashed. Counts of a document are looked up from
+    small sides: keys and numbers that recur, and titles. A repeated line outranks a headlike one.
     """
-    edges = pages.select("item_table", "item_id", F.xxhash64("document").alias("document"), "page", F.explode("edges").alias("e"))
-    edges = edges.select("item_table", "item_id", "document", "page", "e.*").withColumn("key", F.when(F.col("key").isNotNull(), F.xxhash64("key"))).withColumn("offset", F.col("number") - F.col("page"))
-    edges = cut(edges.where("number IS NOT NULL OR key IS NOT NULL"))
-    lengths = broadcast_if_small(cut(pages.groupBy(F.xxhash64("document").alias("document")).agg(F.count("*").alias("pages"))))
     keys = edges.where("key IS NOT NULL").groupBy("document", "key").agg(F.count_if(~F.col("repeats")).alias("same")).where("same >= 2")
     offsets = edges.where("number IS NOT NULL").groupBy("document", "roman", "offset").agg(F.count("*").alias("agreeing")).where("agreeing >= 2")
-    line = ["item_table", "item_id", "line_no"]
-
-    def mark(rows: DataFrame, symbol: int) -> DataFrame:
-        return rows.select(*line, F.lit(symbol).cast("long").alias("symbol"))
-
-    text = edges.where("key IS NOT NULL")
-    repeated = text.join(broadcast_if_small(cut(keys)), ["document", "key"]).join(lengths, "document").where(F.col("same") >= 0.3 * (F.col("pages") - 1))
-    inner = text.where("page > 1").join(lengths, "document").where("pages >= 3")
-    marks = mark(repeated, REPEATED).unionByName(mark(inner.where("ruled"), HEADLIKE))
+    rows = edges.join(broadcast_if_small(lengths), "document").join(broadcast_if_small(cut(keys)), ["document", "key"], "left").join(broadcast_if_small(cut(offsets)), ["document", "roman", "offset"], "left")
+    headlike = F.col("ruled")
     if titles is not None:
         bare = F.regexp_replace(F.regexp_replace("title", "(?i)" + TRAILING_NUMBER, ""), "(?i)" + LEADING_NUMBER, "")
-        wanted = titles.where("title IS NOT NULL").select(F.xxhash64("document").alias("document"), F.xxhash64(fold(bare)).alias("key")).distinct()
-        marks = marks.unionByName(mark(inner.join(broadcast_if_small(cut(wanted)), ["document", "key"], "left_semi"), HEADLIKE))
-    numbers = edges.where("number IS NOT NULL").join(lengths, "document").join(broadcast_if_small(cut(offsets)), ["document", "roman", "offset"], "left")
+        wanted = titles.where("title IS NOT NULL").select(F.xxhash64("document").alias("document"), F.xxhash64(fold(bare)).alias("key"), F.lit(True).alias("titled")).distinct()
+        rows = rows.join(broadcast_if_small(cut(wanted)), ["document", "key"], "left")
+        headlike = headlike | F.coalesce("titled", F.lit(False))
     counted = F.col("agreeing").isNotNull() | F.col("decorated") | (F.col("pages") <= 2) | F.col("roman")
-    marks = marks.unionByName(numbers.select(*line, F.when(counted, NUMBER).otherwise(ODD_NUMBER).cast("long").alias("symbol")))
-    one = marks.groupBy(*line).agg(F.min("symbol").alias("symbol"))  # a repeated line outranks a headlike one
-    return one.groupBy("item_table", "item_id").agg(F.collect_list(F.struct("line_no", "symbol")).alias("marks"))
+    inner = (F.col("page") > 1) & (F.col("pages") >= 3)
+    symbol = (
+        F.when(F.col("number").isNotNull(), F.when(counted, NUMBER).otherwise(ODD_NUMBER))
+        .when(F.col("same") >= 0.3 * (F.col("pages") - 1), REPEATED)
+        .when(inner & headlike, HEADLIKE)
+    )
+    return rows.select("item_table", "item_id", "document", "line_no", "from_top", "from_bottom", symbol.cast("long").alias("symbol")).where("symbol IS NOT NULL")
 
 
-def symbols_of(pattern: str, marks) -> np.ndarray:
-    out = np.frombuffer(pattern.encode(), np.uint8)
-    out = np.where(out == ord("t"), TEXT, BLANK)
-    for m in marks if marks is not None else ():
-        out[int(m["line_no"]) - 1] = int(m["symbol"])
-    return out
+def _unbroken(depth: int) -> tuple[Column, Column]:
+    """Of the marks of a page: how many lines from the top and from the bottom are marked without a gap, up to ``depth``."""
+    upto = lambda side: F.aggregate(F.array_sort(F.transform("marks", lambda m: m[side])), F.lit(0), lambda n, r: F.when(r == n + 1, r).otherwise(n))
+    return F.least(F.lit(depth), upto("from_top")), F.least(F.lit(depth), upto("from_bottom"))
+
+
+def layout(pages: DataFrame, seen: DataFrame, titles: DataFrame | None, depth: int = DEPTH) -> DataFrame:
+    """(item_table, item_id, document, page, pattern, marks): every page with line_no and symbol of its marked lines.
+
+    ``seen`` is from ``first_pass``. While every line looked at from an end of some page is marked, those pages are read again,
+    twice as far in.
+    """
+    item = ["item_table", "item_id"]
+
+    def compact(rows: DataFrame) -> DataFrame:
+        key = F.when(F.col("key").isNotNull(), F.xxhash64("key")).alias("key")
+        names = ["page", "line_no", "from_top", "from_bottom", "number", "roman", "decorated"]
+        rows = rows.where("what = 'edge' AND (number IS NOT NULL OR key IS NOT NULL)")
+        return cut(rows.select(*item, F.xxhash64("document").alias("document"), *names, key, "ruled", "repeats", (F.col("number") - F.col("page")).alias("offset")))
+
+    whole = seen.where("what = 'page'").select(*_PAGE, "pattern")
+    lengths = cut(whole.groupBy(F.xxhash64("document").alias("document")).agg(F.count("*").alias("pages")))
+    edges = compact(seen)
+    marked = cut(edge_symbols(edges, lengths, titles))
+    while True:
+        each = marked.groupBy(*item).agg(F.first("document").alias("document"), F.collect_list(F.struct("line_no", "symbol", "from_top", "from_bottom")).alias("marks"))
+        top, bottom = _unbroken(depth)
+        marks = cut(each.withColumn("top", top).withColumn("bottom", bottom))
+        open_pages = cut(marks.where(F.greatest("top", "bottom") >= depth).select(*item, "document"))
+        if open_pages.isEmpty():
+            break
+        further = pages.join(broadcast_if_small(open_pages.drop("document")), item, "left_semi")
+        more = compact(first_pass(further, 2 * depth, depth))
+        if more.isEmpty():
+            break
+        # the lines further in are held against all lines of their documents
+        edges, depth = edges.unionByName(more), 2 * depth
+        own = edges.join(broadcast_if_small(open_pages.select("document").distinct()), "document", "left_semi")
+        new = edge_symbols(own, lengths, titles).where(F.least("from_top", "from_bottom") > depth // 2)
+        marked = cut(marked.unionByName(new))
+    near = lambda m: (F.least(m["from_top"], m["from_bottom"]) <= DEPTH) | (m["from_top"] <= F.col("top")) | (m["from_bottom"] <= F.col("bottom"))
+    kept = F.transform(F.filter("marks", near), lambda m: F.struct(m["line_no"].alias("line_no"), m["symbol"].alias("symbol")))
+    return whole.join(broadcast_if_small(cut(marks.select(*item, kept.alias("marks")))), item, "left")
+
+
+def with_symbols(pages: DataFrame) -> DataFrame:
+    """Column symbols: the digit of each line's symbol, as one string."""
+    plain = F.translate("pattern", "bt", f"{BLANK}{TEXT}")
+    at = lambda m: m["line_no"].cast("int")
+    put = lambda s, m: F.concat(F.substring(s, F.lit(1), at(m) - 1), m["symbol"].cast("string"), F.substring(s, at(m) + 1, F.length(s)))
+    return pages.withColumn("symbols", F.aggregate(F.coalesce("marks", F.array().cast("array<struct<line_no: bigint, symbol: bigint>>")), plain, put)).drop("marks", "pattern")
+
+
+def _sequence(symbols: str) -> np.ndarray:
+    return np.frombuffer(symbols.encode(), np.uint8) - ord("0")
 
 
 def viterbi(sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
@@ -236,83 +329,117 @@ def viterbi(sequences: list[np.ndarray], start: np.ndarray, step: np.ndarray, em
     return found
 
 
-def train(sequences: list[np.ndarray], rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Viterbi training from the layout prior; returns logarithms of start, step and emission."""
+def _logs(*tables: np.ndarray) -> tuple[np.ndarray, ...]:
     with np.errstate(divide="ignore"):
-        start, step, emit = (np.log(x) for x in (_START, _STEP, _EMIT))
-        for _ in range(rounds):
-            a, b, c = _START * _PRIOR_WEIGHT, _STEP * _PRIOR_WEIGHT, _EMIT * _PRIOR_WEIGHT
-            for s, states in zip(sequences, viterbi(sequences, start, step, emit)):
-                a[states[0]] += 1
-                np.add.at(b, (states[:-1], states[1:]), 1)
-                np.add.at(c, (states, s), 1)
-            start, step, emit = np.log(a / a.sum()), np.log(b / b.sum(axis=1, keepdims=True)), np.log(c / c.sum(axis=1, keepdims=True))
-    return start, step, emit
+        return tuple(np.log(t / t.sum(axis=-1, keepdims=True)) for t in tables)
+
+
+def train(distinct: DataFrame, rounds: int = TRAIN_ROUNDS, weight: float = TRAIN_WEIGHT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Viterbi training from the layout prior over all pages; returns logarithms of start, step and emission.
+
+    ``distinct`` (symbols, n) has each sequence of symbols with its number of pages. A round adds up, over tasks, how often each
+    start, step and emission was taken: one row of a few dozen numbers.
+    """
+    shapes = [_START.shape, _STEP.shape, _EMIT.shape]
+    width = sum(int(np.prod(x)) for x in shapes)
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = _logs(_START, _STEP, _EMIT)
+    for _ in range(rounds if total else 0):
+
+        def taken(batches: Iterator[pd.DataFrame], model: tuple = model) -> Iterator[pd.DataFrame]:
+            counts = [np.zeros(x) for x in shapes]
+            for batch in batches:
+                sequences = [_sequence(x) for x in batch["symbols"]]
+                for s, n, states in zip(sequences, batch["n"], viterbi(sequences, *model)):
+                    counts[0][states[0]] += n
+                    np.add.at(counts[1], (states[:-1], states[1:]), n)
+                    np.add.at(counts[2], (states, s), n)
+            yield pd.DataFrame([np.concatenate([c.ravel() for c in counts])], columns=[f"c{i}" for i in range(width)])
+
+        sums = distinct.mapInPandas(taken, ", ".join(f"c{i} double" for i in range(width))).agg(*[F.sum(f"c{i}") for i in range(width)]).first()
+        flat, at, tables = np.array(list(sums)) * (weight / total), 0, []
+        for prior, shape in zip((_START, _STEP, _EMIT), shapes):
+            size = int(np.prod(shape))
+            tables.append(prior * _PRIOR_WEIGHT + flat[at : at + size].reshape(shape))
+            at += size
+        model = _logs(*tables)
+    return model
 
 
 def _page_lines(text: str) -> list[str]:
     return text.replace("\r", "").split("\n")
 
 
-def label_pages(pages: DataFrame, marks: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
-    """(table, item, document, page, states): a letter for each line, b(reak), p(age number), r(unning) or t(ext).
-
-    The model is fitted on the ``train_pages`` pages with the smallest hash; the sample is bounded, so it may come to the driver.
+def label_pages(pages: DataFrame) -> DataFrame:
+    """(item_table, item_id, document, page, states, noisy): a letter for each line, b(reak), p(age number), r(unning) or t(ext),
+    and the numbers of the lines with p or r. ``pages`` is from ``layout``.
     """
-    pages = cut(pages.select("item_table", "item_id", "document", "page", "pattern").join(marks, ["item_table", "item_id"], "left"))
-    sample = pages.orderBy(F.xxhash64("item_table", "item_id"), "item_table", "item_id").select("pattern", "marks").limit(train_pages).collect()
-    model = train([symbols_of(r["pattern"], r["marks"]) for r in sample if r["pattern"]])
+    pages = cut(with_symbols(pages))
+    model = train(cut(pages.where("symbols <> ''").groupBy("symbols").agg(F.count("*").alias("n"))))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = np.array(list(_LETTERS))
         for batch in batches:
-            sequences = [symbols_of(p, m) for p, m in zip(batch["pattern"], batch["marks"])]
-            out = batch[["item_table", "item_id", "document", "page"]].copy()
-            out["states"] = ["".join(letters[s]) for s in viterbi(sequences, *model)]
-            yield out
+            once = list(dict.fromkeys(batch["symbols"]))
+            states = {x: "".join(letters[s]) for x, s in zip(once, viterbi([_sequence(x) for x in once], *model))}
+            noisy = {x: [i for i, c in enumerate(y, 1) if c in "pr"] for x, y in states.items()}
+            yield batch.drop(columns="symbols").assign(states=batch["symbols"].map(states), noisy=batch["symbols"].map(noisy))
 
-    return cut(pages.mapInPandas(decode, "item_table string, item_id long, document string, page int, states string"))
+    return cut(pages.select(*_PAGE, "symbols").mapInPandas(decode, "item_table string, item_id long, document string, page int, states string, noisy array<long>"))
 
 
 _SECOND = "what string, item_table string, item_id long, line_no long, word string, rests array<struct<line_no: long, word: string>>"
+_REST = pa.list_(pa.struct([("line_no", pa.int64()), ("word", pa.string())]))
 
 
-def second_pass(pages: DataFrame, known: frozenset[str]) -> DataFrame:
+def second_pass(pages: DataFrame, known: frozenset[str], ahead: int) -> DataFrame:
     """Second reading: rows 'word' and 'first' (a word not known, inside or at the opening of a line), 'broken' (the part of a
-    word before a line's end and the openings of the next lines) and 'top' (the openings of a page's first lines).
-
-    Only the two outermost lines at either end of a page can be other than body, so five lines ahead hold the next body line.
+    word before a line's end and the openings of the next ``ahead`` lines) and 'top' (the openings of a page's first lines).
     """
     shipped = pages.sparkSession.sparkContext.broadcast(known)
-    names = [c.split()[0] for c in _SECOND.split(", ")][:5] + ["rests"]
+    names = [f.split(" ")[0] for f in _SECOND.split(", ")[:5]] + ["rests"]
 
     def opening(line: str) -> str | None:
         found = _OPENING.match(line)
         return found[1] if found else None
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shipped.value
+        unknown: dict[str, tuple] = {}  # of each distinct raw word, the words in it that aren't known
         for batch in batches:
+            if len(unknown) > 200_000:
+                unknown.clear()
             rows: list[tuple] = []
-            for table, item, text in zip(*(batch[c] for c in ("item_table", "item_id", "text"))):
+            for table, item, text in zip(*(batch.column(c).to_pylist() for c in ("item_table", "item_id", "text"))):
                 lines = _page_lines(text)
                 full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-                if full:
-                    rows.append(("top", table, item, full[0] + 1, None, [(i + 1, opening(lines[i])) for i in full[:5]]))
+                rows.append(("top", table, item, full[0] + 1 if full else 1, None, [(i + 1, opening(lines[i])) for i in full[:ahead]]))
                 for k, i in enumerate(full):
-                    line = lines[i].rstrip()
-                    raw = line.lower().split()
-                    broken = _BREAK.search(line) if line[-1] in _BREAK_MARKS else None
-                    if broken:
-                        rows.append(("broken", table, item, i + 1, broken[1], [(j + 1, opening(lines[j])) for j in full[k + 1 : k + 6]]))
-                        raw.pop()
+                    raw = lines[i].lower().split()
+                    if raw[-1][-1] in _BREAK_MARKS:
+                        broken = _BREAK.search(lines[i].split()[-1])
+                        if broken:
+                            rows.append(("broken", table, item, i + 1, broken[1], [(j + 1, opening(lines[j])) for j in full[k + 1 : k + 1 + ahead]]))
+                            raw.pop()
                     for at, x in enumerate(raw):
-                        if x in words or x.strip(_PUNCTUATION) in words:
+                        if x in words:
                             continue
-                        rows += [("first" if at == 0 else "word", table, item, i + 1, w, None) for w in _WORD.findall(x) if w not in words and not w.isdigit()]
-            yield pd.DataFrame(rows, columns=names)
+                        odd = unknown.get(x)
+                        if odd is None:
+                            odd = unknown[x] = () if x.strip(_PUNCTUATION) in words else tuple(w for w in _WORD.findall(x) if w not in words and not w.isdigit())
+                        for w in odd:
+                            rows.append(("word" if at else "first", table, item, i + 1, w, None))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), _REST)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return pages.select("item_table", "item_id", "text").mapInArrow(read, _SECOND)
 
-    return pages.select("item_table", "item_id", "text").mapInPandas(read, _SECOND)
+
+def _furthest(labels: DataFrame) -> int:
+    """The most lines of a page in a row, blank ones aside, that aren't body at its top or bottom."""
+    count = lambda pattern: F.max(F.length(F.replace(F.regexp_extract("states", pattern, 0), F.lit("b"), F.lit(""))))
+    return max(int(x or 0) for x in labels.agg(count("^[brp]*"), count("[brp]*$")).first())
 
 
 def _next_openings(tops: DataFrame) -> DataFrame:
@@ -334,29 +461,40 @@ def _is_body(line_no: Column) -> Column:
     return F.substring("states", line_no.cast("int"), F.lit(1)) == "t"
 
 
-def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _one_each(pages: DataFrame) -> DataFrame:
+    """Each item once: of rows of one item the smallest. Texts are compared only where an item stands on several rows."""
+    item = ["item_table", "item_id"]
+    many = cut(pages.groupBy(*item).agg(F.count("*").alias("n")).where("n > 1").select(*item))
+    if many.isEmpty():
+        return pages
+    small = broadcast_if_small(many)
+    rest = [c for c in ("document", "page", "text") if c in pages.columns]
+    one = pages.join(small, item, "left_semi").groupBy(*item).agg(F.min(F.struct(*rest)).alias("m")).select(*item, "m.*")
+    return pages.select(*item, *rest).join(small, item, "left_anti").unionByName(one)
+
+
+def noisy_lines(pages: DataFrame, titles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Noise (item_table, item_id, line_no, noise_kind), corrections (…, what, word, rest, reading, rest_*), labelled pages.
 
     ``pages`` has item_table, item_id, document, page, text; ``titles`` (document, title) is optional.
     """
-    pages = pages.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    pages = _one_each(pages.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")))
     seen = cut(first_pass(pages))
     words, readings = vocabulary(seen)
     wrong = cut(misreadings(words, readings))
     known_rows = readings.where(F.col("n_reading") >= LEAST_READING).orderBy(F.desc("n_reading"), "reading").limit(KNOWN_WORDS).collect()
     item = ["item_table", "item_id"]
-    compact = cut(seen.where("item_id IS NOT NULL").drop("raw", "n").dropDuplicates(item))
-    labels = label_pages(compact, edge_symbols(compact, titles), train_pages)
+    labels = label_pages(layout(pages, seen, titles))
     first_body = F.element_at(F.filter("rests", lambda r: _is_body(r["line_no"])), 1)
     some_body = F.exists("rests", lambda r: _is_body(r["line_no"]))
-    found = second_pass(pages, frozenset(r["reading"] for r in known_rows)).join(labels, item)
+    found = second_pass(pages, frozenset(r["reading"] for r in known_rows), _furthest(labels) + 1).join(labels, item)
     found = found.where(F.when(F.col("what") == "top", some_body).otherwise(_is_body(F.col("line_no"))))
     found = cut(found.select(*item, "what", "line_no", "word", F.when(some_body, first_body).alias("ahead"), F.when(F.col("what") == "top", F.xxhash64("document")).alias("document"), F.when(F.col("what") == "top", F.col("page")).alias("page")))
 
-    letters = labels.select(*item, F.posexplode(F.split("states", "")).alias("at", "state")).where("state IN ('p', 'r')")
-    fixed = letters.select(*item, (F.col("at") + 1).cast("long").alias("line_no"), F.when(F.col("state") == "r", "running").otherwise("page_number").alias("noise_kind"))
+    marked = labels.select(*item, "states", F.explode("noisy").alias("line_no"))
+    fixed = marked.select(*item, "line_no", F.when(F.substring("states", F.col("line_no").cast("int"), F.lit(1)) == "r", "running").otherwise("page_number").alias("noise_kind"))
 
-    tops = found.where("what = 'top'").withColumnRenamed("ahead", "own").dropDuplicates(item)
+    tops = found.where("what = 'top'").withColumnRenamed("ahead", "own")
     ends = found.where("what = 'broken'")
     inside = ends.where("ahead IS NOT NULL").select(*item, "line_no", "word", F.col("ahead.word").alias("rest"), F.col("item_table").alias("rest_table"), F.col("item_id").alias("rest_item"), F.col("ahead.line_no").alias("rest_line"))
     over = ends.where("ahead IS NULL").join(_next_openings(tops), item)
@@ -381,11 +519,14 @@ def noisy_lines(pages: DataFrame, titles: DataFrame | None = None, train_pages:
     plain = letters_only(F.col("reading"))
     first_off = off.where(~F.startswith(plain, letters_only(F.col("word")))).select(*item, "line_no")
     second_off = off.where(~F.endswith(plain, letters_only(F.col("rest")))).select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no"))
-    chars = misread.select(*item, "line_no").unionByName(first_off).unionByName(second_off).withColumn("noise_kind", F.lit("char"))
-    noise = fixed.unionByName(chars).unionByName(hyphens).distinct()
+    chars = misread.select(*item, "line_no").unionByName(first_off).unionByName(second_off).distinct().withColumn("noise_kind", F.lit("char"))
+    noise = fixed.unionByName(chars).unionByName(hyphens)
     none = F.lit(None)
     corrections = misread.select(*item, "line_no", F.lit("word").alias("what"), "word", none.cast("string").alias("rest"), "reading", none.cast("string").alias("rest_table"), none.cast("long").alias("rest_item"), none.cast("long").alias("rest_line"))
-    joins = broken.where("NOT own_hyphen").select(*item, "line_no", F.lit("broken").alias("what"), "word", "rest", F.when(F.col("trusted"), F.col("reading")).otherwise(F.col("joined")).alias("reading"), "rest_table", "rest_item", "rest_line")
+    # a word of its own hyphen is put together too, with the hyphen, unless what follows is no rest of a word
+    whole = F.when(F.col("trusted"), F.col("reading")).when(F.col("own_hyphen"), F.lower(F.concat("word", F.lit("-"), "rest"))).otherwise(F.col("joined"))
+    joins = broken.where(~F.col("own_hyphen") | F.col("trusted") | F.substring("rest", 1, 1).rlike(r"\p{Ll}|[0-9]"))
+    joins = joins.select(*item, "line_no", F.lit("broken").alias("what"), "word", "rest", whole.alias("reading"), "rest_table", "rest_item", "rest_line")
     return noise, corrections.unionByName(joins).distinct(), labels
 
 
@@ -441,7 +582,7 @@ def paragraphs(pages: DataFrame, labels: DataFrame, corrections: DataFrame) -> D
     own = corrections.select(*item, "line_no", "what", "word", "reading")
     eaten = corrections.where("what = 'broken'").select(F.col("rest_table").alias("item_table"), F.col("rest_item").alias("item_id"), F.col("rest_line").alias("line_no"), F.lit("eaten").alias("what"), F.col("rest").alias("word"), F.lit(None).cast("string").alias("reading"))
     fixes = own.unionByName(eaten).groupBy(*item).agg(F.collect_list(F.struct("line_no", "what", "word", "reading")).alias("fixes"))
-    texts = pages.where(F.col("text").isNotNull()).select(*item, "text").dropDuplicates(item)
+    texts = _one_each(pages.where(F.col("text").isNotNull())).select(*item, "text")
     joined = labels.join(fixes, item, "left").join(texts, item)
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -453,8 +594,9 @@ def paragraphs(pages: DataFrame, labels: DataFrame, corrections: DataFrame) -> D
     fixed = joined.select(*item, "document", "page", "text", "states", "fixes").mapInPandas(repair, "item_table string, item_id long, document string, page int, text string")
     ordered = fixed.where("text <> ''").groupBy("document").agg(F.sort_array(F.collect_list(F.struct("page", "item_id", "text"))).alias("p"))
 
-    def add(acc: Column, p: Column) -> Column:
-        glue = F.when(acc == "", "").when(acc.rlike(r"[.!?:][\"'”’)]*$"), "\n\n").when(p["text"].rlike(r"^[.,;:!?)]"), "").otherwise(" ")
-        return F.concat(acc, glue, p["text"])
+    def with_glue(p: Column, i: Column) -> Column:
+        before = F.get("p", i - 1)["text"]
+        glue = F.when(i == 0, "").when(before.rlike(r"[.!?:][\"'”’)]*$"), "\n\n").when(p["text"].rlike(r"^[.,;:!?)]"), "").otherwise(" ")
+        return F.concat(glue, p["text"])
 
-    return ordered.select("document", F.size("p").cast("long").alias("pages"), F.aggregate("p", F.lit(""), add).alias("text"))
+    return ordered.select("document", F.size("p").cast("long").alias("pages"), F.array_join(F.transform("p", with_glue), "").alias("text"))
