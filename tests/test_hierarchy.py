@@ -59,6 +59,22 @@ def test_long_chain_and_star(spark):
     check(spark, [(f"k{i:03d}", f"k{i - 1:03d}") for i in range(1, 70)] + [(f"leaf{i}", "k000") for i in range(30)])
 
 
+def test_shards_and_blocks(spark, monkeypatch):
+    """Children of one parent in several shards, intervals in several blocks."""
+    monkeypatch.setattr(h, "SIBLINGS", 7)
+    monkeypatch.setattr(h, "SPAN", 5)
+    check(spark, [(f"leaf{i:02d}", "hub") for i in range(40)] + [(f"twig{i:02d}", f"leaf{i % 9:02d}") for i in range(30)] + [("hub", "top")])
+
+
+def test_positions_without_paths(spark):
+    rows = spark.createDataFrame([(f"k{i:04d}", f"k{i - 1:04d}") for i in range(1, 60)] + [(f"leaf{i}", "k0030") for i in range(50)], "child string, parent string")
+    nodes = h.decompose(h.links(rows, F.col("child"), F.col("parent")), paths=False)
+    got = {r["node"]: r for r in nodes.collect()}
+    assert "path" not in nodes.columns and got["k0059"].depth == 60 and got["leaf7"].depth == 32 and got["k0030"].subtree_size == 80
+    assert sorted(r.first_pos for r in got.values()) == list(range(110))
+    assert all(got["k0030"].first_pos < got[f"leaf{i}"].first_pos <= got["k0030"].last_pos for i in range(50))
+
+
 @pytest.mark.parametrize("pairs", [[("a", None)], [("a", "b")], [("a", "a")], [("a", "b"), ("a", "c")]])
 def test_small(spark, pairs):
     check(spark, pairs)
