@@ -36,48 +36,63 @@ def retrievable(points: DataFrame, version: int | None = None) -> DataFrame:
     return points.where(ok & (F.col("doc_version") == version) if version is not None else ok)
 
 
-#: queries in one pass over the points; their vectors are what a pass broadcasts
-QUERIES_A_PASS, QUERIES_A_BLOCK = 20_000, 256
+#: queries in one pass over the points, and the most bytes of their vectors that a pass broadcasts
+QUERIES_A_PASS, MOST_BYTES = 20_000, 64 * 1024 * 1024
 
 
-def vector_top_k(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of the k nearest points of every query, exact.
+def vector_top_k(queries: DataFrame, points: DataFrame, k: int, legs: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the k nearest points of every query, exact; with ``legs`` (an array of the legs a
+    point belongs to) also leg, and the k nearest of every leg.
 
-    Queries are a stated set. They are taken in passes of about ``QUERIES_A_PASS``, by hash, so what a pass broadcasts is
-    bounded; in a pass, blocks of queries meet Arrow batches of points as matrix products, each batch keeps its own k best
-    for each query, and one window merges them. Work is queries x points, memory is not.
+    Queries are a stated set. They are taken in passes by hash; a pass broadcasts the matrix of its queries, whose size is
+    checked, and reads the points once for all legs. A task keeps its own k best for each query and leg, and one window merges
+    them. Work is queries x points, memory is not. A zero vector scores 0; points without a vector are no candidates.
     """
     passes = max(1, -(-queries.count() // QUERIES_A_PASS))
+    names = F.array(F.lit("")) if legs is None else legs.cast("array<string>")
+    rows = points.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", names.alias("legs"))
     found = None
     for n in range(passes):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)
-        one = _one_pass(part, points, k)
+        one = _one_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n), rows, k)
         found = one if found is None else found.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    by = ["query_id"] if legs is None else ["leg", "query_id"]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
+    return (found.drop("leg") if legs is None else found).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    scale = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, scale, out=np.zeros_like(vectors), where=scale > 0)
 
 
 def _one_pass(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    blocks = queries.groupBy(F.pmod(F.hash("query_id"), F.lit(QUERIES_A_PASS // QUERIES_A_BLOCK)).alias("b")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q")).select("q")
-    crossed = points.select("chunk_id", "embedding").crossJoin(F.broadcast(blocks))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").toPandas()
+    ids = asked["query_id"].to_numpy(dtype=np.int64)
+    vectors = _unit(np.array(asked["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1))
+    if vectors.nbytes > MOST_BYTES:
+        raise ValueError(f"the vectors of one pass take {vectors.nbytes} bytes: lower QUERIES_A_PASS")
+    shipped = points.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shipped.value
+        kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            out = []
-            for _, part in batch.groupby(batch["q"].map(lambda q: q[0]["query_id"])):
-                q = part["q"].iloc[0]
-                ids, qv = [x["query_id"] for x in q], np.array([x["embedding"] for x in q], dtype=np.float64)
-                pv = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                scale = np.linalg.norm(qv, axis=1)[:, None] * np.linalg.norm(pv, axis=1)[None, :]
-                s = np.divide(qv @ pv.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                cid = part["chunk_id"].to_numpy()
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((cid, -s[i]))[:k]
-                    out.append(pd.DataFrame({"query_id": qid, "chunk_id": cid[order], "score": s[i][order]}))
-            if out:
-                yield pd.concat(out)
-
-    return crossed.mapInPandas(best, "query_id long, chunk_id long, score double")
+            if not len(ids):
+                continue
+            p = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
+            scores, chunk = q @ p.T, batch["chunk_id"].to_numpy()
+            legs = batch["legs"].to_numpy()
+            for leg in {x for row in legs for x in row}:
+                at = np.fromiter((leg in row for row in legs), bool, len(legs))
+                s, c = scores[:, at], np.broadcast_to(chunk[at], (len(ids), int(at.sum())))
+                if leg in kept:
+                    s, c = np.concatenate((kept[leg][0], s), axis=1), np.concatenate((kept[leg][1], c), axis=1)
+                order = np.lexsort((c, -s), axis=1)[:, :k]
+                kept[leg] = np.take_along_axis(s, order, axis=1), np.take_along_axis(c, order, axis=1)
+        for leg, (s, c) in kept.items():
+            yield pd.DataFrame({"leg": leg, "query_id": np.repeat(ids, s.shape[1]), "chunk_id": c.ravel(), "score": s.ravel()})
+
+    return points.mapInPandas(best, "leg string, query_id long, chunk_id long, score double")
 
 
 def top_k(points: DataFrame, query_vector: list[float], k: int) -> DataFrame:

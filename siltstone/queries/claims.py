@@ -22,11 +22,6 @@ def add(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
     SQL[name] = ctes("claim").rstrip() + sql
 
 
-def some_parts(c: DataFrame) -> DataFrame:
-    """The entities asked about: subjects whose number ends in 7."""
-    return c.select(F.col("subject_id").alias("entity_id")).distinct().where("entity_id % 10 = 7")
-
-
 def every(c: DataFrame) -> DataFrame:
     """All subjects as the entities asked about."""
     return c.select(F.col("subject_id").alias("entity_id")).distinct()
@@ -68,25 +63,12 @@ add(
     lambda c: ops.current_state(c, DAY, c.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct().where("entity_id % 3 > 0")),
     f" SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE {_PRESENT} AND {_AS_OF} AND subject_id % 3 > 0 AND object_id % 3 > 0",
 )
-_SOME = "SELECT subject_id FROM claim WHERE subject_id % 10 = 7"
-add("j19_current_edges", lambda c: ops.current_state(c, DAY).join(some_parts(c).withColumnRenamed("entity_id", "subject_id"), "subject_id", "left_semi").select("subject_id", "predicate", "object_id"), f" SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE {_PRESENT} AND {_AS_OF} AND subject_id % 10 = 7")
-add("j20_history", lambda c: ops.one_hop(c, some_parts(c), side="subject").groupBy("subject_id", "predicate").agg(F.sort_array(F.collect_set("object_id")).alias("objects"), F.count("*").alias("claims")), " SELECT subject_id, predicate, list_sort(list(DISTINCT object_id)) AS objects, count(*) AS claims FROM claim WHERE status <> 'retracted' AND subject_id % 10 = 7 GROUP BY 1, 2")
-add("j21_either_end", lambda c: ops.one_hop(c, some_parts(c), "WORKS_AT", date(1996, 1, 1), date(1997, 1, 1)).select("claim_id"), f" SELECT DISTINCT claim_id FROM claim WHERE status <> 'retracted' AND predicate = 'WORKS_AT' AND (valid_from IS NULL OR valid_from < DATE '1997-01-01') AND (valid_until IS NULL OR valid_until > DATE '1996-01-01') AND (subject_id IN ({_SOME}) OR object_id IN ({_SOME}))")
-add("t10_recent_claims", lambda c: ops.one_hop(c, some_parts(c), "FUNDED_BY", side="subject", limit=50).select("claim_id"), " SELECT claim_id FROM claim WHERE status <> 'retracted' AND predicate = 'FUNDED_BY' AND subject_id % 10 = 7 ORDER BY coalesce(valid_until, DATE '9999-12-31') DESC, coalesce(valid_from, DATE '0001-01-01') DESC, claim_id LIMIT 50")
 _ENDS = "SELECT subject_id AS near, object_id AS far, claim_id FROM live WHERE predicate = '{0}' UNION ALL SELECT object_id, subject_id, claim_id FROM live WHERE predicate = '{0}'"
+add("j19_current_edges", lambda c: ops.current_state(c, DAY), f" SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE {_PRESENT} AND {_AS_OF}")
+add("j20_history", lambda c: ops.one_hop(c, every(c), side="subject").groupBy("subject_id", "predicate").agg(F.sort_array(F.collect_set("object_id")).alias("objects"), F.count("*").alias("claims")), " SELECT subject_id, predicate, list_sort(list(DISTINCT object_id)) AS objects, count(*) AS claims FROM claim WHERE status <> 'retracted' GROUP BY 1, 2")
+add("j21_either_end", lambda c: ops.one_hop(c, every(c), "WORKS_AT", date(1996, 1, 1), date(1997, 1, 1)).select("claim_id"), " SELECT DISTINCT claim_id FROM claim WHERE status <> 'retracted' AND predicate = 'WORKS_AT' AND (valid_from IS NULL OR valid_from < DATE '1997-01-01') AND (valid_until IS NULL OR valid_until > DATE '1996-01-01')")
 add(
     "j22_two_hop",
-    lambda c: ops.two_hop(c, c.select(F.col("subject_id").alias("entity_id")).distinct().where("entity_id % 50 = 7"), "LED_BY", "WORKS_AT", date(1997, 1, 1), date(1998, 1, 1)),
-    f""", live AS (SELECT * FROM claim WHERE status <> 'retracted' AND (valid_from IS NULL OR valid_from < DATE '1998-01-01') AND (valid_until IS NULL OR valid_until > DATE '1997-01-01')),
-l1 AS ({_ENDS.format('LED_BY')}), l2 AS ({_ENDS.format('WORKS_AT')})
-SELECT DISTINCT l1.near AS start_id, l1.far AS via_id, l2.far AS end_id, l1.claim_id AS first_claim, l2.claim_id AS second_claim FROM l1 JOIN l2 ON l1.far = l2.near
-WHERE l1.near IN (SELECT subject_id FROM claim WHERE subject_id % 50 = 7) AND l1.claim_id <> l2.claim_id AND l2.far <> l1.near""",
-)
-add("j19_current_edges_all", lambda c: ops.current_state(c, DAY), f" SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE {_PRESENT} AND {_AS_OF}")
-add("j20_history_all", lambda c: ops.one_hop(c, every(c), side="subject").groupBy("subject_id", "predicate").agg(F.sort_array(F.collect_set("object_id")).alias("objects"), F.count("*").alias("claims")), " SELECT subject_id, predicate, list_sort(list(DISTINCT object_id)) AS objects, count(*) AS claims FROM claim WHERE status <> 'retracted' GROUP BY 1, 2")
-add("j21_either_end_all", lambda c: ops.one_hop(c, every(c), "WORKS_AT", date(1996, 1, 1), date(1997, 1, 1)).select("claim_id"), " SELECT DISTINCT claim_id FROM claim WHERE status <> 'retracted' AND predicate = 'WORKS_AT' AND (valid_from IS NULL OR valid_from < DATE '1997-01-01') AND (valid_until IS NULL OR valid_until > DATE '1996-01-01')")
-add(
-    "j22_two_hop_all",
     lambda c: ops.two_hop(c, every(c), "LED_BY", "WORKS_AT", date(1997, 1, 1), date(1998, 1, 1)),
     f""", live AS (SELECT * FROM claim WHERE status <> 'retracted' AND (valid_from IS NULL OR valid_from < DATE '1998-01-01') AND (valid_until IS NULL OR valid_until > DATE '1997-01-01')),
 l1 AS ({_ENDS.format('LED_BY')}), l2 AS ({_ENDS.format('WORKS_AT')})
@@ -94,7 +76,7 @@ SELECT DISTINCT l1.near AS start_id, l1.far AS via_id, l2.far AS end_id, l1.clai
 WHERE l1.near IN (SELECT subject_id FROM claim) AND l1.claim_id <> l2.claim_id AND l2.far <> l1.near""",
 )
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY coalesce(valid_until, DATE '9999-12-31') DESC, coalesce(valid_from, DATE '0001-01-01') DESC, claim_id) AS rn FROM claim WHERE status <> 'retracted' AND predicate = '{0}') WHERE rn <= {1})"
-add("t10_recent_claims_each", lambda c: ops.one_hop_each(c, every(c), "FUNDED_BY", 50).select("subject_id", "claim_id"), f" SELECT subject_id, claim_id FROM {_LATEST.format('FUNDED_BY', 50)}")
+add("t10_recent_claims", lambda c: ops.one_hop_each(c, every(c), "FUNDED_BY", 50).select("subject_id", "claim_id"), f" SELECT subject_id, claim_id FROM {_LATEST.format('FUNDED_BY', 50)}")
 add("f17_overlapping_windows", lambda c: c.where(periods.overlaps(F.col("valid_from"), F.col("valid_until"), F.lit(date(1999, 1, 1)), F.lit(None).cast("date"))).select("claim_id"), " SELECT claim_id FROM claim WHERE (valid_from IS NOT NULL OR valid_until IS NOT NULL) AND coalesce(valid_until, DATE '9999-12-31') > DATE '1999-01-01'")
 _CODE = """CASE WHEN claim_id IS NULL THEN 'no_id' WHEN predicate IS NULL THEN 'no_predicate' WHEN predicate NOT IN ('LED_BY', 'WORKS_AT', 'FUNDED_BY') THEN 'unknown_predicate' WHEN subject_id IS NULL THEN 'no_subject'
   WHEN object_id IS NULL THEN 'no_object' WHEN subject_id = object_id THEN 'self_reference' WHEN valid_until <= valid_from THEN 'inverted_window' WHEN confidence < 0.52 THEN 'low_confidence' END"""
@@ -109,9 +91,7 @@ have AS (SELECT DISTINCT subject_id, predicate, object_id FROM claim WHERE docum
 SELECT coalesce(w.predicate, h.predicate) AS predicate, count(*) FILTER (WHERE h.subject_id IS NULL) AS missing, count(*) FILTER (WHERE w.subject_id IS NULL) AS unexpected
 FROM want w FULL JOIN have h ON w.subject_id = h.subject_id AND w.predicate = h.predicate AND w.object_id = h.object_id GROUP BY 1""")
 add("g17_evidence_mix", lambda c: c.groupBy("predicate").agg(F.sort_array(F.collect_set("temporal_basis")).alias("bases"), F.max(F.col("status") == "retracted").alias("any_retracted")), " SELECT predicate, list_sort(list(DISTINCT temporal_basis)) AS bases, bool_or(status = 'retracted') AS any_retracted FROM claim GROUP BY 1")
-add("proj09_claim_sentences", lambda c: ops.one_hop(c, some_parts(c), "LED_BY", side="subject", limit=20).select(F.concat(F.col("subject_id").cast("string"), F.lit(" led by "), F.col("object_id").cast("string"), F.concat(F.lit(" from "), F.date_format("valid_from", "yyyy-MM-dd")), F.coalesce(F.concat(F.lit(" to "), F.date_format(periods.inclusive_end(F.col("valid_until")), "yyyy-MM-dd")), F.lit(""))).alias("line")).distinct(), """ SELECT DISTINCT concat(subject_id, ' led by ', object_id, ' from ', strftime(valid_from, '%Y-%m-%d'), coalesce(' to ' || strftime(valid_until - INTERVAL 1 DAY, '%Y-%m-%d'), '')) AS line
-  FROM (SELECT * FROM claim WHERE status <> 'retracted' AND predicate = 'LED_BY' AND subject_id % 10 = 7 ORDER BY coalesce(valid_until, DATE '9999-12-31') DESC, coalesce(valid_from, DATE '0001-01-01') DESC, claim_id LIMIT 20)""")
 _LINE = lambda: F.concat(F.col("subject_id").cast("string"), F.lit(" led by "), F.col("object_id").cast("string"), F.concat(F.lit(" from "), F.date_format("valid_from", "yyyy-MM-dd")), F.coalesce(F.concat(F.lit(" to "), F.date_format(periods.inclusive_end(F.col("valid_until")), "yyyy-MM-dd")), F.lit("")))
-add("proj09_claim_sentences_each", lambda c: ops.one_hop_each(c, every(c), "LED_BY", 20).select(_LINE().alias("line")).distinct(), f""" SELECT DISTINCT concat(subject_id, ' led by ', object_id, ' from ', strftime(valid_from, '%Y-%m-%d'), coalesce(' to ' || strftime(valid_until - INTERVAL 1 DAY, '%Y-%m-%d'), '')) AS line
+add("proj09_claim_sentences", lambda c: ops.one_hop_each(c, every(c), "LED_BY", 20).select(_LINE().alias("line")).distinct(), f""" SELECT DISTINCT concat(subject_id, ' led by ', object_id, ' from ', strftime(valid_from, '%Y-%m-%d'), coalesce(' to ' || strftime(valid_until - INTERVAL 1 DAY, '%Y-%m-%d'), '')) AS line
   FROM {_LATEST.format('LED_BY', 20)}""")
 add("d02_inclusive_ends", lambda c: c.select("claim_id", periods.inclusive_end(F.col("valid_until")).alias("last_day"), periods.exclusive_end(F.col("valid_from")).alias("day_after")), " SELECT claim_id, CAST(valid_until - INTERVAL 1 DAY AS DATE) AS last_day, CAST(valid_from + INTERVAL 1 DAY AS DATE) AS day_after FROM claim")

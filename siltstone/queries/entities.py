@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import text
 from siltstone.operators import entities as ops
-from siltstone.operators import retrieval
 from siltstone.sources import web
 from siltstone.sources.views import ctes, view
 
@@ -165,13 +164,6 @@ def k02_headings(t):
     return lines.where(F.col("line").rlike(r"^(#{1,6} \S.*|\d+(\.\d+)*\.? [A-Z].{0,80})$")).groupBy("section_id").agg(F.count("*").alias("headings"))
 
 
-@query("SELECT vec_id, (SELECT NULL) IS NULL AND list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 100) AS DOUBLE[])) >= 0.3 AND label = (SELECT label FROM embeddings WHERE vec_id = 100) AS hit FROM embeddings")
-def v12_cache_lookup(t):
-    e = t("embeddings")
-    q = e.where("vec_id = 100").select(F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    return e.join(F.broadcast(q)).select("vec_id", ((retrieval.cosine(F.col("embedding"), F.col("qe")) >= 0.3) & (F.col("label") == F.col("ql"))).alias("hit"))
-
-
 @query("SELECT p.chunk_id, q.chunk_id IS NOT NULL AS reused FROM (SELECT DISTINCT chunk_id, payload.chunk_text AS h FROM qdrant_point) p LEFT JOIN (SELECT DISTINCT chunk_id, payload.chunk_text AS h FROM qdrant_point WHERE chunk_id % 3 > 0) q ON p.chunk_id = q.chunk_id AND p.h = q.h")
 def v13_reusable_vectors(t):
     p = t("qdrant_point").select("chunk_id", F.sha2("payload.chunk_text", 256).alias("h")).distinct()
@@ -185,10 +177,8 @@ def u13_document_batches(t):
     return ops.batches_by_budget(d, "source", "doc_id", "n", 4000)
 
 
-@query("SELECT source, count(*) AS documents, count(DISTINCT text) AS texts FROM documents GROUP BY 1 HAVING count(*) > count(DISTINCT text)")
-def d_exact_copies(t):
-    return t("documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_distinct("text").alias("texts")).where("documents > texts")
-
-
-QUERIES["u04_exact_copies"] = QUERIES.pop("d_exact_copies")
-SQL["u04_exact_copies"] = SQL.pop("d_exact_copies")
+@query("SELECT source, min(doc_id) AS doc_id, arg_min(title, doc_id) AS title FROM documents WHERE title IS NOT NULL AND source IS NOT NULL GROUP BY source, lower(strip_accents(title))")
+def u04_first_titles(t):
+    """Titles of a source that differ in case or accents only are one: the first document's spelling stands."""
+    d = t("documents").where("title IS NOT NULL AND source IS NOT NULL").withColumn("key", F.collate("title", "UNICODE_CI_AI"))
+    return d.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.min_by("title", "doc_id").alias("title")).drop("key")

@@ -99,15 +99,21 @@ def n12_admissible_text(t):
     return c.where("NOT is_parent").join(p, "parent_chunk_id", "left").select("chunk_id", F.when(F.coalesce("has", F.lit(False)) & ok("ps"), "parent").when(ok("section_type"), "child").alias("admitted"))
 
 
-@query("SELECT chunk_id, round(ln(1 + chunk_id % 400), 6) AS substance FROM chunk", "chunk")
+@query("SELECT doc_id, round(ln(1 + length(coalesce(text, ''))), 6) AS substance, CAST(floor(ln(1 + length(coalesce(text, ''))) / ln(1.5) + 1e-9) AS BIGINT) AS band FROM documents")
 def v08_substance(t):
-    return t("chunk").select("chunk_id", F.round(F.log1p(F.col("chunk_id") % 400), 6).alias("substance"))
+    """Completeness of a text: the logarithm of its length, in bands of half as much again."""
+    s = F.log1p(F.length(F.coalesce("text", F.lit(""))).cast("double"))
+    return t("documents").select("doc_id", F.round(s, 6).alias("substance"), F.floor(s / F.log(F.lit(1.5)) + 1e-9).cast("long").alias("band"))
 
 
-@query("SELECT chunk_id, CASE WHEN chunk_id % 7 = 0 THEN least(1.0, greatest(0.0, chunk_id / 100.0)) WHEN source_type = 'website' THEN 0.6 ELSE 0.8 END AS authority FROM chunk", "chunk")
+@query("""SELECT doc_id, CASE WHEN a IS NOT NULL THEN least(1.0, greatest(0.0, a)) WHEN bundle IS NULL THEN 0.6 ELSE 0.8 END AS authority
+FROM documents LEFT JOIN (SELECT source, max(20 * target_share - 0.5) AS a FROM mix_target GROUP BY 1) USING (source)""")
 def n13_authority(t):
-    stated = F.when(F.col("chunk_id") % 7 == 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("chunk_id") / 100.0)))
-    return t("chunk").select("chunk_id", F.coalesce(stated, F.when(F.col("source_type") == "website", 0.6).otherwise(0.8)).alias("authority"))
+    """A source's stated authority, clamped to 0..1, else that of the kind of document; the shares of sources stand for the statement."""
+    stated = t("mix_target").groupBy("source").agg(F.max(20 * F.col("target_share") - 0.5).alias("a"))
+    clamped = F.when(F.col("a").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("a"))))
+    kind = F.when(F.col("bundle").isNull(), 0.6).otherwise(0.8)
+    return t("documents").join(stated, "source", "left").select("doc_id", F.coalesce(clamped, kind).alias("authority"))
 
 
 @query("SELECT chunk_id, document_id, row_number() OVER (PARTITION BY document_id, label ORDER BY chunk_index, chunk_id) - 1 AS ordinal FROM chunk", "chunk")
@@ -116,14 +122,6 @@ def w09_ordinals(t):
     return t("chunk").select("chunk_id", "document_id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
 
 
-@query("SELECT document_id, round(max(s) - coalesce(max(s) FILTER (WHERE rn = 2), 0), 6) AS margin FROM (SELECT document_id, 1.0 / (1 + chunk_id) AS s, row_number() OVER (PARTITION BY document_id ORDER BY chunk_id) AS rn FROM chunk) GROUP BY 1", "chunk")
-def w11_margin(t):
-    s = t("chunk").select("document_id", (1.0 / (1 + F.col("chunk_id"))).alias("s"))
-    order = Window.partitionBy("document_id").orderBy(F.desc("s"))
-    top = s.select("document_id", "s", F.lead("s").over(order).alias("next"), F.row_number().over(order).alias("rn")).where("rn = 1")
-    return top.select("document_id", F.round(F.col("s") - F.coalesce("next", F.lit(0.0)), 6).alias("margin"))
-
-
 @query("+e AS (SELECT document_id, last(effective_end_date) AS e FROM (SELECT document_id, CAST(coalesce(effective_end_date, effective_start_date) AS DATE) AS effective_end_date FROM cat_document WHERE bundle = '1-URGENT') GROUP BY 1) SELECT document_id FROM e WHERE e IS NULL OR e >= DATE '1998-01-01' OR NOT EXISTS (SELECT 1 FROM e WHERE e IS NULL OR e >= DATE '1998-01-01')", "cat_document")
 def f23_scheduled_gate(t):
     d = t("cat_document").where("bundle = '1-URGENT'").select("document_id", F.coalesce("effective_end_date", "effective_start_date").cast("date").alias("e"))
