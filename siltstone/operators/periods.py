@@ -80,5 +80,5 @@ def label(value: Column, precision: Column) -> Column:
 def partial_iso(text: Column) -> Column:
     """YYYY, YYYY-MM or YYYY-MM-DD within 1800..2200 to its first day, else null."""
     padded = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01"))).when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
-    day = F.try_to_date(padded, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.expr("null")
+    day = F.try_to_date(padded, "yyyy-MM-dd")
     return F.when(F.year(day).between(1800, 2200), day)

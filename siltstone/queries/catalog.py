@@ -149,7 +149,7 @@ add("a14_counts_by_type", lambda c: c.documents.groupBy("source_type", "doc_vers
 add("t01_list_documents", lambda c: ops.list_documents(c, Scope(source_type="website", topic_terms=["report 7 ", "low"]), 100, 50).select("document_id", "title"), """SELECT document_id, title FROM cat_document WHERE source_type = 'website' AND (contains(lower(title), 'report 7 ') OR contains(lower(title), 'low'))
   ORDER BY CAST(contains(lower(title), 'report 7 ') AS INT) + CAST(contains(lower(title), 'low') AS INT) DESC, effective_start_date DESC NULLS LAST, document_id LIMIT 100 OFFSET 50""")
 add("t02_ids_in_scope", lambda c: ops.ids_in_scope(c, WEB).select("document_id"), f"SELECT document_id FROM cat_document WHERE source_type = 'website' AND {IN_YEAR} ORDER BY effective_start_date DESC NULLS LAST, document_id LIMIT 300")
-add("t03_theme_documents", lambda c: ops.ids_in_scope(c, Scope(theme="JAPAN", theme_path="ASIA > JAPAN"), 2000, 10_000).select("document_id"), "SELECT document_id FROM cat_document WHERE document_id IN (SELECT document_id FROM cat_theme WHERE theme_path = 'ASIA > JAPAN' OR starts_with(theme_path, 'ASIA > JAPAN > ') OR (theme_path IS NULL AND (theme = 'JAPAN' OR parent = 'JAPAN'))) ORDER BY effective_start_date DESC NULLS LAST, document_id LIMIT 2000", (D, T))
+add("t03_theme_documents", lambda c: ops.ids_in_scope(c, Scope(theme="NATION_12", theme_path="ASIA > NATION_12"), 2000, 10_000).select("document_id"), "SELECT document_id FROM cat_document WHERE document_id IN (SELECT document_id FROM cat_theme WHERE theme_path = 'ASIA > NATION_12' OR starts_with(theme_path, 'ASIA > NATION_12 > ') OR (theme_path IS NULL AND (theme = 'NATION_12' OR parent = 'NATION_12'))) ORDER BY effective_start_date DESC NULLS LAST, document_id LIMIT 2000", (D, T))
 add("t04_list_with_total", lambda c: ops.list_with_total(c, WEB, 20), f"SELECT document_id, title, (SELECT count(DISTINCT document_id) FROM cat_document WHERE source_type = 'website' AND {IN_YEAR}) AS total FROM cat_document WHERE source_type = 'website' AND {IN_YEAR} ORDER BY effective_start_date DESC NULLS LAST, document_id LIMIT 20")
 add("j01_facet_semi_join", lambda c: Scope(author="supplier#000000007").apply(c).select("document_id"), "SELECT document_id FROM cat_document WHERE document_id IN (SELECT document_id FROM cat_author WHERE contains(lower(author), 'supplier#000000007'))", (D, A))
 add(
@@ -160,8 +160,8 @@ add(
 add("j04_attachments", lambda c: ops.attachments_of(c, WEB), f"SELECT document_id, list_sort(list(DISTINCT file_uuid)) AS files FROM cat_attachment WHERE document_id IN (SELECT document_id FROM cat_document WHERE source_type = 'website' AND {IN_YEAR}) GROUP BY document_id", (D, X))
 add(
     "j05_orphaned_files",
-    lambda c: ops.orphaned_attachments(c.attachments, c.attachments, c.documents.where("bundle IN ('1-URGENT', '2-HIGH', '3-MEDIUM')").select("document_id")),
-    "SELECT DISTINCT file_uuid FROM cat_attachment WHERE file_uuid NOT IN (SELECT file_uuid FROM cat_attachment WHERE document_id NOT IN (SELECT document_id FROM cat_document WHERE bundle IN ('1-URGENT', '2-HIGH', '3-MEDIUM')))",
+    lambda c: ops.orphaned_attachments(c.attachments, c.attachments, c.documents.where("document_id % 40 > 0").select("document_id")),
+    "SELECT DISTINCT file_uuid FROM cat_attachment WHERE file_uuid NOT IN (SELECT file_uuid FROM cat_attachment WHERE document_id NOT IN (SELECT document_id FROM cat_document WHERE document_id % 40 > 0))",
     (D, X),
 )
 _TAXONOMY = "SELECT DISTINCT r_name AS theme, NULL AS parent, CASE WHEN r_regionkey < 3 THEN 'main' ELSE 'other' END AS theme_group, r_name AS theme_path, 1 AS depth FROM region UNION ALL SELECT n_name, r_name, CASE WHEN r_regionkey < 3 THEN 'main' ELSE 'other' END, concat(r_name, ' > ', n_name), 2 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 > 0"
@@ -184,11 +184,14 @@ SELECT name, CASE WHEN t.theme IS NULL THEN 'unknown' WHEN t.depth = 1 THEN 'mai
 FROM names LEFT JOIN tax t ON lower(t.theme) = lower(name)"""
 add("n05_theme_tree", ops.theme_tree, "SELECT theme_group, parent, list_sort(list(DISTINCT theme)) AS children, count(*) AS links FROM (SELECT DISTINCT theme_group, parent, theme, document_id FROM cat_theme WHERE parent IS NOT NULL) GROUP BY 1, 2", (T,))
 add("n02_themes_by_group", lambda c: c.themes.groupBy("theme_group").agg(F.sort_array(F.collect_set("theme")).alias("themes")), "SELECT theme_group, list_sort(list(DISTINCT theme)) AS themes FROM cat_theme GROUP BY 1", (T,))
-add(
-    "n06_unique_title",
-    lambda c: c.documents.where(ops.contains_ci(F.col("title"), "report 7 of 1")).orderBy("document_id").limit(3).agg(F.count("*").alias("n"), F.min("document_id").alias("d")).where("n = 1").select("d"),
-    "SELECT d FROM (SELECT count(*) AS n, min(document_id) AS d FROM (SELECT document_id FROM cat_document WHERE contains(lower(title), 'report 7 of 1') ORDER BY document_id LIMIT 3)) WHERE n = 1",
-)
+def n06_unique_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that lead to exactly one document, and that document."""
+    d = view(spark, sf_dir, "documents").where("title IS NOT NULL")
+    return d.groupBy(F.lower(F.trim("title")).alias("asked")).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select("asked", "doc_id")
+
+
+QUERIES["n06_unique_title"] = n06_unique_title
+SQL["n06_unique_title"] = "SELECT lower(trim(title)) AS asked, min(doc_id) AS doc_id FROM documents WHERE title IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) = 1"
 
 
 def facet_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

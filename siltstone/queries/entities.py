@@ -130,9 +130,9 @@ def j13_superseded_points(t):
     return q.join(newest, "document_id").where("doc_version < v").select("chunk_id")
 
 
-@query("SELECT document_id FROM page_content WHERE document_id IS NOT NULL GROUP BY 1 HAVING coalesce(max(length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))), 0) = 0")
+@query("SELECT document_id FROM page_content WHERE document_id IS NOT NULL GROUP BY 1 HAVING coalesce(max(length(trim(CASE WHEN extracted_via = 'ocr' THEN text END, ' ' || chr(9) || chr(10) || chr(13)))), 0) = 0")
 def n24_empty_extractions(t):
-    return t("page_content").where("document_id IS NOT NULL").groupBy("document_id").agg(F.coalesce(F.max(F.length(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""))), F.lit(0)).alias("n")).where("n = 0").select("document_id")
+    return t("page_content").where("document_id IS NOT NULL").groupBy("document_id").agg(F.coalesce(F.max(F.length(F.regexp_replace(F.when(F.col("extracted_via") == "ocr", F.col("text")), r"^[ \t\n\r]+|[ \t\n\r]+$", ""))), F.lit(0)).alias("n")).where("n = 0").select("document_id")
 
 
 @query("WITH a AS (SELECT document_id, list_distinct(list(theme)) AS a FROM documents_theme WHERE theme IS NOT NULL GROUP BY 1), b AS (SELECT document_id, list_distinct(list(parent)) AS b FROM documents_theme WHERE parent IS NOT NULL GROUP BY 1) SELECT document_id, len(list_intersect(a, b)) AS shared, len(b) - len(list_intersect(a, b)) AS novel FROM a JOIN b USING (document_id)")

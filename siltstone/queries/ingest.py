@@ -121,9 +121,9 @@ def r01_without_points(t):
     return snapshot(t).select("document_id").join(t("qdrant_point").select("payload.document_id"), "document_id", "left_anti")
 
 
-@query("SELECT DISTINCT payload.document_id AS document_id FROM qdrant_point WHERE payload.document_id IS NOT NULL AND payload.document_id NOT IN (SELECT document_id FROM catalog_document)")
+@query("SELECT DISTINCT payload.document_id AS document_id FROM qdrant_point WHERE payload.document_id IS NOT NULL AND payload.document_id NOT IN (SELECT document_id FROM catalog_document WHERE pipeline_version <> '2026.3')")
 def r02_points_without_document(t):
-    return t("qdrant_point").select("payload.document_id").where("document_id IS NOT NULL").distinct().join(t("catalog_document").select("document_id"), "document_id", "left_anti")
+    return t("qdrant_point").select("payload.document_id").where("document_id IS NOT NULL").distinct().join(t("catalog_document").where("pipeline_version <> '2026.3'").select("document_id"), "document_id", "left_anti")
 
 
 @query("SELECT payload.document_id AS document_id, count(DISTINCT payload.doc_version) AS versions FROM qdrant_point WHERE payload.document_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT payload.doc_version) > 1")
@@ -131,10 +131,10 @@ def r03_live_versions(t):
     return t("qdrant_point").where("payload.document_id IS NOT NULL").groupBy(F.col("payload.document_id").alias("document_id")).agg(F.count_distinct("payload.doc_version").alias("versions")).where("versions > 1")
 
 
-@query("SELECT DISTINCT chunk_id FROM qdrant_point WHERE NOT payload.is_parent AND payload.parent_chunk_id IS NOT NULL AND payload.parent_chunk_id NOT IN (SELECT chunk_id FROM qdrant_point WHERE payload.is_parent)")
+@query("SELECT DISTINCT chunk_id FROM qdrant_point WHERE NOT payload.is_parent AND payload.parent_chunk_id IS NOT NULL AND payload.parent_chunk_id NOT IN (SELECT chunk_id FROM qdrant_point WHERE payload.is_parent AND payload.section_type IS NULL AND chunk_id % 7 > 0)")
 def r05_children_without_parent(t):
     q = t("qdrant_point")
-    parents = q.where("payload.is_parent").select(F.col("chunk_id").alias("parent"))
+    parents = q.where("payload.is_parent AND payload.section_type IS NULL AND chunk_id % 7 > 0").select(F.col("chunk_id").alias("parent"))
     return q.where("NOT payload.is_parent AND payload.parent_chunk_id IS NOT NULL").select("chunk_id", F.col("payload.parent_chunk_id").alias("parent")).join(parents, "parent", "left_anti").select("chunk_id").distinct()
 
 
@@ -150,14 +150,23 @@ def r07_documents_without_date(t):
     return ops.offenders(snapshot(t).where("effective_start_date IS NULL"), "documents_without_date", "document_id")
 
 
-@query("SELECT document_id FROM cat_document WHERE (start_precision = 'year' AND (month(effective_start_date) <> 1 OR day(effective_start_date) <> 1)) OR (start_precision = 'month' AND day(effective_start_date) <> 1)", "cat_document")
+_MOVED = "(SELECT document_id, start_precision, effective_start_date + INTERVAL 3 DAY AS start, effective_end_date AS stop FROM cat_document WHERE document_id % 5 = 0 UNION ALL SELECT document_id, start_precision, effective_start_date, effective_end_date FROM cat_document WHERE document_id % 5 > 0)"
+
+
+def _moved(t):
+    """Documents with some start dates moved by three days and ends before them, as offenders."""
+    shift = F.when(F.col("document_id") % 5 == 0, F.col("effective_start_date") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("effective_start_date"))
+    return t("cat_document").select("document_id", "start_precision", shift.alias("start"), F.col("effective_end_date").alias("stop"))
+
+
+@query(f"SELECT document_id FROM {_MOVED} WHERE (start_precision = 'year' AND (month(start) <> 1 OR day(start) <> 1)) OR (start_precision = 'month' AND day(start) <> 1)", "cat_document")
 def r08_precision_mismatch(t):
-    return t("cat_document").where("(start_precision = 'year' AND (month(effective_start_date) <> 1 OR day(effective_start_date) <> 1)) OR (start_precision = 'month' AND day(effective_start_date) <> 1)").select("document_id")
+    return _moved(t).where("(start_precision = 'year' AND (month(start) <> 1 OR day(start) <> 1)) OR (start_precision = 'month' AND day(start) <> 1)").select("document_id")
 
 
-@query("SELECT document_id FROM cat_document WHERE effective_end_date < effective_start_date", "cat_document")
+@query(f"SELECT document_id FROM (SELECT document_id, start, stop - INTERVAL 399 DAY AS stop FROM {_MOVED}) WHERE stop < start", "cat_document")
 def r10_inverted_ranges(t):
-    return t("cat_document").where("effective_end_date < effective_start_date").select("document_id")
+    return _moved(t).where(F.col("stop") - F.expr("INTERVAL 399 DAYS") < F.col("start")).select("document_id")
 
 
 @query("SELECT DISTINCT a.document_id FROM cat_document a JOIN (SELECT document_id, max(theme_group) AS g, min(theme_group) AS h FROM cat_theme GROUP BY 1) b USING (document_id) WHERE (CASE WHEN a.doc_version = 1 THEN 'main' END) IS DISTINCT FROM b.h", "cat_document", "cat_theme")

@@ -84,11 +84,18 @@ def u10_redundant_headings(t):
     return rows.where(F.size("h") > 0).select("section_id", F.round(shared / F.size("h"), 6).alias("coverage"), (shared >= 0.8 * F.size("h")).alias("covered")).distinct()
 
 
-@query("SELECT a.chunk_id AS a, b.chunk_id AS b FROM chunk a JOIN chunk b ON a.document_id = b.document_id AND a.chunk_id < b.chunk_id AND a.source_type <> b.source_type AND a.label = b.label", "chunk")
+@query("""WITH l AS (SELECT DISTINCT document_id, filename FROM pdf_evidence WHERE document_id IS NOT NULL AND filename IS NOT NULL),
+d AS (SELECT document_id, min(source_key) AS page FROM catalog_document GROUP BY 1)
+SELECT DISTINCT a.document_id AS a, b.document_id AS b FROM l a JOIN l b ON a.filename = b.filename AND a.document_id < b.document_id
+LEFT JOIN d x ON x.document_id = a.document_id LEFT JOIN d y ON y.document_id = b.document_id WHERE x.page IS NULL OR y.page IS NULL OR x.page <> y.page""")
 def j25_linked_sources(t):
-    c = t("chunk")
-    a, b = (c.select("document_id", "label", F.col("chunk_id").alias(x), F.col("source_type").alias(f"s{x}")) for x in "ab")
-    return a.join(b, ["document_id", "label"]).where("a < b AND sa <> sb").select("a", "b")
+    """Documents linked by a file of one name that are neither one document nor a page and its own file."""
+    links = t("pdf_evidence").where("document_id IS NOT NULL AND filename IS NOT NULL").select("document_id", "filename").distinct()
+    pages = t("catalog_document").groupBy("document_id").agg(F.min("source_key").alias("page"))
+    keyed = links.join(pages, "document_id", "left")
+    a, b = (keyed.select("filename", F.col("document_id").alias(x), F.col("page").alias(f"page_{x}")) for x in "ab")
+    other = F.coalesce(F.col("page_a") != F.col("page_b"), F.lit(True))
+    return a.join(b, "filename").where((F.col("a") < F.col("b")) & other).select("a", "b").distinct()
 
 
 @query("SELECT c.chunk_id, CASE WHEN p.chunk_id IS NOT NULL AND coalesce(p.section_type NOT IN ('toc', 'references', 'glossary'), true) THEN 'parent' WHEN coalesce(c.section_type NOT IN ('toc', 'references', 'glossary'), true) THEN 'child' END AS admitted FROM chunk c LEFT JOIN chunk p ON p.chunk_id = c.parent_chunk_id WHERE NOT c.is_parent", "chunk")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import catalog, claims, entities, general, ingest, passages, retrieval, scalar, streams
+from siltstone.queries import assembly, catalog, claims, entities, general, ingest, passages, retrieval, scalar, streams
 
-_MODULES = (general, catalog, claims, retrieval, ingest, entities, passages, scalar, streams)
+_MODULES = (general, catalog, claims, retrieval, ingest, entities, passages, scalar, streams, assembly)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
