@@ -103,11 +103,11 @@ def j07_child_parent_drift(t):
     return q.join(p, "parent_chunk_id").where(~same).select("chunk_id").distinct()
 
 
-@query("SELECT payload.document_id AS document_id, payload.chunk_index AS chunk_index, count(DISTINCT chunk_id) AS ids FROM qdrant_point WHERE NOT payload.is_parent GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) > 1")
+@query("SELECT payload.parent_chunk_id AS parent_chunk_id, payload.chunk_index AS chunk_index, count(DISTINCT chunk_id) AS ids FROM qdrant_point WHERE NOT payload.is_parent GROUP BY 1, 2 HAVING count(DISTINCT chunk_id) > 1")
 def r04_chunk_id_mismatch(t):
-    """Places of a document that more than one chunk id claims, of whatever version."""
-    q = t("qdrant_point").where("NOT payload.is_parent").select("chunk_id", "payload.document_id", "payload.chunk_index")
-    return q.groupBy("document_id", "chunk_index").agg(F.count_distinct("chunk_id").alias("ids")).where("ids > 1")
+    """Places below a parent that more than one chunk id claims."""
+    q = t("qdrant_point").where("NOT payload.is_parent").select("chunk_id", "payload.parent_chunk_id", "payload.chunk_index")
+    return q.groupBy("parent_chunk_id", "chunk_index").agg(F.count_distinct("chunk_id").alias("ids")).where("ids > 1")
 
 
 @query("SELECT bundle, count(DISTINCT document_id) AS documents FROM catalog_document WHERE bundle IS NULL OR bundle NOT IN ('article', 'news', 'page', 'press_release', 'report') GROUP BY 1")

@@ -84,18 +84,14 @@ def u10_redundant_headings(t):
     return rows.where(F.size("h") > 0).select("section_id", F.round(shared / F.size("h"), 6).alias("coverage"), (shared >= 0.8 * F.size("h")).alias("covered")).distinct()
 
 
-@query("""WITH l AS (SELECT DISTINCT document_id, filename FROM pdf_evidence WHERE document_id IS NOT NULL AND filename IS NOT NULL),
-d AS (SELECT document_id, min(source_key) AS page FROM catalog_document GROUP BY 1)
-SELECT DISTINCT a.document_id AS a, b.document_id AS b FROM l a JOIN l b ON a.filename = b.filename AND a.document_id < b.document_id
-LEFT JOIN d x ON x.document_id = a.document_id LEFT JOIN d y ON y.document_id = b.document_id WHERE x.page IS NULL OR y.page IS NULL OR x.page <> y.page""")
+@query("""WITH d AS (SELECT doc_id, source, md5(text) AS h FROM documents WHERE trim(text) <> ''), m AS (SELECT h, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) > 1)
+SELECT m.first AS linked_to, d.doc_id FROM d JOIN m USING (h) JOIN d x ON x.doc_id = m.first WHERE d.doc_id <> m.first AND d.source IS DISTINCT FROM x.source""")
 def j25_linked_sources(t):
-    """Documents linked by a file of one name that are neither one document nor a page and its own file."""
-    links = t("pdf_evidence").where("document_id IS NOT NULL AND filename IS NOT NULL").select("document_id", "filename").distinct()
-    pages = t("catalog_document").groupBy("document_id").agg(F.min("source_key").alias("page"))
-    keyed = links.join(pages, "document_id", "left")
-    a, b = (keyed.select("filename", F.col("document_id").alias(x), F.col("page").alias(f"page_{x}")) for x in "ab")
-    other = F.coalesce(F.col("page_a") != F.col("page_b"), F.lit(True))
-    return a.join(b, "filename").where((F.col("a") < F.col("b")) & other).select("a", "b").distinct()
+    """Documents linked by an equal text to the first one that has it, where another source shows it: one row a document, no pairs."""
+    d = t("documents").where("trim(text) <> ''").select("doc_id", "source", F.md5("text").alias("h"))
+    first = d.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("x"), F.count("*").alias("n")).where("n > 1").select("h", "x")
+    linked = d.join(first, "h").where((F.col("doc_id") != F.col("x.doc_id")) & ~F.col("source").eqNullSafe(F.col("x.source")))
+    return linked.select(F.col("x.doc_id").alias("linked_to"), "doc_id")
 
 
 @query("SELECT c.chunk_id, CASE WHEN p.chunk_id IS NOT NULL AND coalesce(p.section_type NOT IN ('toc', 'references', 'glossary'), true) THEN 'parent' WHEN coalesce(c.section_type NOT IN ('toc', 'references', 'glossary'), true) THEN 'child' END AS admitted FROM chunk c LEFT JOIN chunk p ON p.chunk_id = c.parent_chunk_id WHERE NOT c.is_parent", "chunk")
