@@ -47,11 +47,6 @@ nr AS (SELECT mention_id, document_id, m.entity_type, entity_id, 'prefix' AS sou
 c AS (SELECT * FROM ex UNION ALL SELECT * FROM nr)"""
 
 
-@query(f"+{_CANDIDATES} SELECT mention_id, document_id, entity_type, entity_id, source FROM c", "entity", "mention")
-def j17_candidates(t):
-    return ops.candidates(t("mention"), t("entity"))
-
-
 @query()
 def j17_generated(t):
     """Aliases are the spellings of a seeded entity; the tables have no project codes, so the ids of projects stand for them."""

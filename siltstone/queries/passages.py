@@ -43,20 +43,6 @@ def k09_section_kinds(t):
     return t("canonical_section").select("section_id", kind("text").alias("kind")).distinct()
 
 
-_KEY = r"regexp_replace(lower(line), '[^a-z]+', '', 'g')"
-
-
-@query(f"""WITH p AS (SELECT DISTINCT document_id, page_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM page_content WHERE text IS NOT NULL),
-x AS (SELECT document_id, page_id, unnest(l) AS line FROM p), k AS (SELECT document_id, page_id, {_KEY} AS k FROM x), n AS (SELECT document_id, count(*) AS pages FROM p GROUP BY 1)
-SELECT document_id, k AS line_key, count(DISTINCT page_id) AS pages FROM k JOIN n USING (document_id) WHERE length(k) >= 4 AND n.pages >= 4 GROUP BY document_id, k, n.pages HAVING count(DISTINCT page_id) >= 0.5 * n.pages""")
-def x17_running_lines(t):
-    p = t("page_content").where("text IS NOT NULL").select("document_id", "page_id", "text").distinct()
-    lines = p.select("document_id", "page_id", F.explode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line"))
-    keyed = lines.select("document_id", "page_id", F.regexp_replace(F.lower("line"), "[^a-z]+", "").alias("line_key")).where(F.length("line_key") >= 4).distinct()
-    sizes = p.groupBy("document_id").agg(F.count("*").alias("n")).where("n >= 4")
-    return keyed.groupBy("document_id", "line_key").agg(F.count("*").alias("pages")).join(sizes, "document_id").where("pages >= 0.5 * n").select("document_id", "line_key", "pages")
-
-
 @query()
 def x17_running_keys(t):
     return running.running_keys(t("page_content"))

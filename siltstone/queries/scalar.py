@@ -57,11 +57,8 @@ add("d11_phrase_window", "orders", "o_orderkey", lambda: F.transform(F.array(_W(
 add("m03_token_estimate", D, K, lambda: F.ceil(F.length("text") / 4), "CAST(ceil(length(text) / 4) AS BIGINT)")
 add("m04_sha256_id", D, K, lambda: F.concat(F.lit("claim_"), F.substring(F.sha2(F.concat_ws("\u001f", F.col("doc_id").cast("string"), "lang"), 256), 1, 24)), "concat('claim_', left(sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), lang)), 24))")
 add("m01_sigmoid", "events", "event_id", lambda: F.round(1 / (1 + F.exp(-F.col("value") / 100)), 9), "round(1 / (1 + exp(-value / 100)), 9)")
-add("u03_stored_values", "documents_theme", "document_id", lambda: F.array_join(F.array_distinct(F.transform(F.split("theme_path", " > "), lambda x: F.substring(x, 1, 12))), "|"), "array_to_string(list_transform(list_filter(list_zip(p, generate_series(1, len(p))), lambda x: list_position(p, x[1]) = x[2]), lambda x: x[1]), '|')")
-SQL["u03_stored_values"] = "SELECT document_id, array_to_string(list_transform(list_filter(list_zip(p, generate_series(1, len(p))), lambda x: list_position(p, x[1]) = x[2]), lambda x: x[1]), '|') AS out FROM (SELECT document_id, list_transform(string_split(theme_path, ' > '), lambda x: left(x, 12)) AS p FROM documents_theme WHERE theme_path IS NOT NULL)"
-QUERIES["u03_stored_values"] = lambda spark, sf_dir: view(spark, sf_dir, "documents_theme").where("theme_path IS NOT NULL").select("document_id", F.array_join(F.array_distinct(F.transform(F.split("theme_path", " > "), lambda x: F.substring(x, 1, 12))), "|").alias("out"))
-SQL["u03_stored_facets"] = f"SELECT document_id, theme_path, array_to_string(list_transform(list_filter(list_zip(p, generate_series(1, len(p))), lambda x: list_position(p, x[1]) = x[2]), lambda x: x[1]), '|') AS out FROM (SELECT DISTINCT document_id, theme_path, list_transform(list_filter(string_split(theme_path, ' > '), lambda x: x <> ''), lambda x: left(x, {text.FACET_WIDTH})) AS p FROM documents_theme WHERE theme_path IS NOT NULL)"
-QUERIES["u03_stored_facets"] = lambda spark, sf_dir: view(spark, sf_dir, "documents_theme").where("theme_path IS NOT NULL").select("document_id", "theme_path").distinct().withColumn("out", F.array_join(text.stored_values(F.split("theme_path", " > ")), "|"))
+SQL["u03_stored_values"] = f"SELECT document_id, theme_path, array_to_string(list_transform(list_filter(list_zip(p, generate_series(1, len(p))), lambda x: list_position(p, x[1]) = x[2]), lambda x: x[1]), '|') AS out FROM (SELECT DISTINCT document_id, theme_path, list_transform(list_filter(string_split(theme_path, ' > '), lambda x: x <> ''), lambda x: left(x, {text.FACET_WIDTH})) AS p FROM documents_theme WHERE theme_path IS NOT NULL)"
+QUERIES["u03_stored_values"] = lambda spark, sf_dir: view(spark, sf_dir, "documents_theme").where("theme_path IS NOT NULL").select("document_id", "theme_path").distinct().withColumn("out", F.array_join(text.stored_values(F.split("theme_path", " > ")), "|"))
 add("x09_name_score", D, K, lambda: F.round(text.name_score(text.fold_name(F.col("title")), text.fold_name(F.concat(F.lit("Annual "), F.col("bundle")))), 6), None)
 add("m04_uuid5", D, K, lambda: text.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("doc_id").cast("string")), None)
 add("v05_key_terms", D, K, lambda: F.array_join(text.key_terms(F.col("title")), "|"), None)

@@ -16,4 +16,4 @@ def test_width_and_order(spark):
 def test_query_keeps_levels(spark, tmp_path):
     path = "Land Use > Land Use Outreach > Land Use Outreach Surveys"
     spark.createDataFrame([("d", path), ("d", path), ("e", None)], "document_id string, theme_path string").write.parquet(f"{tmp_path}/documents_theme.parquet")
-    assert [r.out for r in scalar.QUERIES["u03_stored_facets"](spark, str(tmp_path)).collect()] == ["Land Use|Land Use Outreach|Land Use Outreach Surveys"]
+    assert [r.out for r in scalar.QUERIES["u03_stored_values"](spark, str(tmp_path)).collect()] == ["Land Use|Land Use Outreach|Land Use Outreach Surveys"]
