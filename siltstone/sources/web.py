@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 # Elements that end a line of text, and elements whose content is no text.
 _BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 table tr section article header footer blockquote pre hr".split())
 _SILENT = frozenset("script style noscript template".split())
+# Leading zeros of a decimal reference; references beyond the last character, which the parser takes for integers of any length.
+_ZEROS, _BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 
 class _Text(HTMLParser):
@@ -32,6 +35,13 @@ class _Text(HTMLParser):
         if tag in _BLOCKS:
             self.parts.append("\n")
 
+    def parse_marked_section(self, i, report=1):
+        """A section without a known keyword, on which the base class raises, is a comment up to the next ``>`` as browsers read it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(" ".join(data.split()) + (" " if data[-1:].isspace() else "") if data.strip() else " ")
@@ -42,7 +52,7 @@ def text_of_html(html: str | None) -> str | None:
     if html is None:
         return None
     parser = _Text()
-    parser.feed(html)
+    parser.feed(_BEYOND.sub("\ufffd", _ZEROS.sub("&#", html)))
     parser.close()
     lines = (" ".join(x.split(" ")).strip() for x in "".join(parser.parts).split("\n"))
     return "\n".join(" ".join(x.split()) if "\t" not in x else x for x in lines if x)
