@@ -1,4 +1,4 @@
-"""Decisions equal their SQL on odd rows, and no candidate pair is shuffled."""
+"""Scores and decisions equal their SQL on odd rows, and no candidate pair is shuffled."""
 
 import pytest
 
@@ -14,7 +14,7 @@ MENTIONS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["e09_decisions"])
+@pytest.mark.parametrize("name", ["e08_scores", "e09_decisions"])
 def test_odd_rows(name, spark):
     duckdb = pytest.importorskip("duckdb")
     tables = {"entity": spark.createDataFrame(ENTITIES, "entity_type string, entity_id string, name string"), "mention": spark.createDataFrame(MENTIONS, "mention_id string, document_id long, entity_type string, surface string")}
@@ -25,11 +25,12 @@ def test_odd_rows(name, spark):
     con.executemany("INSERT INTO mention VALUES (?, ?, ?, ?)", MENTIONS)
     sql = queries.SQL[name]
     sql = "WITH e AS" + sql[sql.index("e AS (SELECT entity_type, entity_id") + 4 :]  # the same text over these tables in place of the views
-    found = ops.evidence(tables["mention"], ops.named(tables["entity"]))
-    same(ops.decisions(tables["mention"], found), con.sql(sql))
+    names = ops.named(tables["entity"])
+    found = ops.evidence(tables["mention"], names)
+    same(ops.scored(found, names) if name == "e08_scores" else ops.decisions(tables["mention"], found), con.sql(sql))
 
 
-@pytest.mark.parametrize("name", ["e09_decisions"])
+@pytest.mark.parametrize("name", ["e08_scores", "e09_decisions"])
 def test_pairs_are_not_shuffled(name, spark, tmp_path):
     n = 1500  # entities and mentions of one name
     spark.range(n).selectExpr("id AS p_partkey", "'red bolt' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
@@ -39,5 +40,5 @@ def test_pairs_are_not_shuffled(name, spark, tmp_path):
     spark.createDataFrame([], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = {}
     moved = rows_shuffled(spark, lambda: found.update(n=queries.QUERIES[name](spark, str(tmp_path)).count()))
-    assert found["n"] == (n)
+    assert found["n"] == (n * n if name == "e08_scores" else n)
     assert moved < 40 * n
